@@ -93,13 +93,13 @@ def find_items(
 
 SQL = """
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents WHERE doc_id IS NOT NULL
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL
 ), d AS (
-  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), i -> array_to_string(w[i:i+4], ' '))) AS shingle FROM w
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i+4], ' '))) AS shingle FROM w
 ), v AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL
 ), b AS (
-  SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), i -> array_to_string(w[i:i+4], ' '))) AS shingle FROM v
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i+4], ' '))) AS shingle FROM v
 ), n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY 1)
 SELECT doc_id, item_id, count(*) AS n_shared, n_shingles, count(*) / n_shingles AS containment
 FROM d JOIN b USING (shingle) JOIN n USING (item_id)

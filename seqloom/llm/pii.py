@@ -177,7 +177,8 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         return F.struct(s["start"], s["rank"], s["end"])
 
     term = F.transform("added", lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), s["end"].alias("end")))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    ranks = F.transform("base", lambda s: s["rank"])
+    counts = [(F.size(ranks) - F.size(F.array_remove(ranks, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     every = F.array_sort(F.concat(F.transform("base", plain), term))
     return found.select(id_col, *counts, F.sha2(spelled("base"), 256).alias("base_sha256"), spelled(every).alias("spans"))
 
