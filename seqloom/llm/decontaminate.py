@@ -91,6 +91,15 @@ def find_items(
     )
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without those that contain an item. Texts decide, whatever their ids: a null or repeated id hides nothing."""
+    keyed = docs.select(F.md5(F.col(text_col).cast("binary")).alias("doc_id"), F.col(text_col).alias("text"))
+    found = find_items(keyed, items, width=width, threshold=threshold).select("doc_id").distinct()
+    found = Scratch(docs.sparkSession, "decontaminate").write(found, "contaminated")
+    marked = docs.withColumn("__key", F.md5(F.col(text_col).cast("binary")))
+    return keep_keys(marked, found.withColumnRenamed("doc_id", "__key"), "__key", "left_anti").select(*docs.columns)
+
+
 SQL = """
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL

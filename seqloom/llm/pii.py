@@ -183,8 +183,10 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, *counts, F.sha2(spelled("base"), 256).alias("base_sha256"), spelled(every).alias("spans"))
 
 
-def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of df, with entities replaced by their kind and telling terms generalised or removed."""
+def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """All columns of df, with entities replaced by their kind and telling terms generalised or removed.
+
+    length_col: a column that holds the number of characters, set anew where the text changes."""
     marks = spans(df, id_col, text_col).where(F.size("base") > 0)
     base = F.transform("base", lambda s: F.struct(s["start"], s["end"], F.get(F.array(*[F.lit(LABELS[k]) for k in KINDS]), s["rank"]).alias("put")))
     general = lambda t: F.when(t["value"].rlike(r"^\p{N}+$"), "<NUMBER>").otherwise("<WORD>")
@@ -204,4 +206,7 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     clean = F.aggregate(
         "__marks", state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
     )
-    return keyed.select(*[F.when(F.col("__marks").isNull(), text).otherwise(clean).alias(c) if c == text_col else F.col(c) for c in df.columns])
+    put = {text_col: clean}
+    if length_col in df.columns:
+        put[length_col] = F.length(clean).cast(dict(df.dtypes)[length_col])
+    return keyed.select(*[F.when(F.col("__marks").isNull(), F.col(c)).otherwise(put[c]).alias(c) if c in put else F.col(c) for c in df.columns])

@@ -35,7 +35,8 @@ from ..plans.graph import connected_components
 from ..plans.storage import Scratch
 
 SEED = 42
-SLICE_CHARS = 4_000_000
+#: Hashes held at a time.
+SLICE_HASHES = 2_000_000
 
 
 def shingle_hashes(text: bytes, width: int) -> list[int]:
@@ -74,26 +75,33 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _of_texts(texts: pa.Array, shingle: int) -> np.ndarray:
+    """Fingerprints of a batch of texts, as signed longs."""
+    found, counts, held = [], [], []
+    for text in texts.cast(pa.binary()):
+        h = shingle_hashes(text.as_py() or b"", shingle)
+        found.extend(h)
+        counts.append(len(h))
+        if len(found) > SLICE_HASHES:
+            held.append(majority_bits(np.array(found, np.uint64), np.array(counts)))
+            found, counts = [], []
+    held.append(majority_bits(np.array(found, np.uint64), np.array(counts, np.int64)))
+    return np.concatenate(held).view(np.int64)
+
+
+def fingerprint_of(shingle: int = 3):
+    """A column function: the fingerprint of a text, as a long."""
+
+    @F.arrow_udf("long")
+    def fp(texts: pa.Array) -> pa.Array:
+        return pa.array(_of_texts(texts, shingle))
+
+    return fp
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id_col, fp long) for every row; a map over partitions."""
-    kind = dict(df.dtypes)[id_col]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            found, counts, held = [], [], []
-            for text in texts:
-                h = shingle_hashes(text.as_py() or b"", shingle)
-                found.extend(h)
-                counts.append(len(h))
-                if len(found) > SLICE_CHARS:
-                    held.append(majority_bits(np.array(found, np.uint64), np.array(counts)))
-                    found, counts = [], []
-            held.append(majority_bits(np.array(found, np.uint64), np.array(counts, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(held).view(np.int64))], ["id", "fp"])
-
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
+    return df.select(id_col, fingerprint_of(shingle)(F.col(text_col).cast("string")).alias("fp"))
 
 
 def _segment_counts(fp: F.Column) -> F.Column:
@@ -157,5 +165,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(by_fp, "fp").select(id_col, "fp", "component_id")
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """df's columns of one row of each group: that with the smallest id (null ids last, then any one of equals).
+
+    The row is chosen by fingerprint first, with partial aggregation, so a large group of copies is
+    never joined or gathered; only the rows that go are then looked up."""
+    scratch = Scratch(df.sparkSession, "simhash")
+    fp = fingerprint_of(shingle)(F.col(text_col).cast("string"))
+    rows = scratch.write(df.select(*df.columns, fp.alias("__fp"), F.monotonically_increasing_id().alias("__row")), "rows")
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), "__row")
+    fps = scratch.write(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(order).alias("best")), "distinct")
+    parts = connected_components(links(fps), "fp", "hub")
+    best = fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("component", "fp").alias("part")).agg(F.min("best").alias("best"))
+    return rows.join(best.select("best.__row"), "__row", "left_semi").select(*df.columns)
+
+
 def as_hex(fp: F.Column) -> F.Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
