@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.graph import connected_components
@@ -115,40 +115,37 @@ def _segment_counts(fp: F.Column) -> F.Column:
 
 
 def _cells(fps: DataFrame) -> DataFrame:
-    """(fp, cell, segment, step): the grid cells at Manhattan distance 1 or less."""
-    spot = F.struct(F.col("at").alias("cell"), F.lit(-1).alias("segment"), F.lit(0).alias("step"))
-    near = [spot]
+    """(fp, cell): the grid cells at Manhattan distance 1 or less."""
+    near = [F.col("at")]
     for s in range(16):
         count, unit = F.shiftrightunsigned("at", 4 * s).bitwiseAND(7), F.lit(1 << (4 * s)).cast("long")
-        for step, inside in ((1, count < 4), (-1, count > 0)):
-            near.append(
-                F.when(inside, F.struct((F.col("at") + step * unit).alias("cell"), F.lit(s).alias("segment"), F.lit(step).alias("step")))
-            )
-    return fps.select("fp", _segment_counts(F.col("fp")).alias("at")).select("fp", F.inline(F.array_compact(F.array(*near))))
+        near += [F.when(count < 4, F.col("at") + unit), F.when(count > 0, F.col("at") - unit)]
+    return fps.select("fp", _segment_counts(F.col("fp")).alias("at")).select("fp", F.explode(F.array_compact(F.array(*near))).alias("cell"))
 
 
 def _midpoints(cells: DataFrame) -> DataFrame:
     """(fp, word): words at Hamming distance 1 or less whose segment counts are the cell's."""
+    step = F.col("cell") - _segment_counts(F.col("fp"))
+    placed = cells.select("fp", step.alias("step"), F.bit_count(F.abs(step) - 1).alias("shift"))
     flips = []
     for k in range(4):
-        bit = F.expr(f"shiftleft(1L, 4 * segment + {k})")
+        bit = F.expr(f"shiftleft(1L, shift + {k})")
         is_set = F.col("fp").bitwiseAND(bit) != 0
         flips.append(F.when(is_set == (F.col("step") < 0), F.col("fp").bitwiseXOR(bit)))
-    words = F.when(F.col("segment") < 0, F.array("fp")).otherwise(F.array_compact(F.array(*flips)))
-    return cells.select("fp", F.explode(words).alias("word"))
+    words = F.when(F.col("step") == 0, F.array("fp")).otherwise(F.array_compact(F.array(*flips)))
+    return placed.select("fp", F.explode(words).alias("word"))
 
 
-def _shared(rows: DataFrame, key: str) -> DataFrame:
-    """(key, hub): keys that two fingerprints or more have, with the smallest one."""
-    return rows.groupBy(key).agg(F.min("fp").alias("hub"), F.max("fp").alias("most")).where("hub < most").select(key, "hub")
+def _met(rows: DataFrame, key: str) -> DataFrame:
+    """Rows whose key another fingerprint has too, with the smallest fingerprint there (hub): one shuffle and sort."""
+    same = Window.partitionBy(key)
+    return rows.withColumns({"hub": F.min("fp").over(same), "most": F.max("fp").over(same)}).where("hub < most").drop("most")
 
 
 def links(fps: DataFrame) -> DataFrame:
     """(fp, hub): stars over distinct fingerprints; same components as all pairs within 2 bits."""
-    cells = _cells(fps)
-    met = cells.join(_shared(cells, "cell").select("cell"), "cell", "left_semi")
-    words = _midpoints(met)
-    stars = words.join(_shared(words, "word"), "word").where("fp <> hub").select("fp", "hub").distinct()
+    words = _midpoints(_met(_cells(fps), "cell").select("fp", "cell"))
+    stars = _met(words, "word").where("fp <> hub").select("fp", "hub").distinct()
     return stars.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= 2)
 
 
