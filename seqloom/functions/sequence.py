@@ -20,7 +20,7 @@ def normalize_name(x: Column) -> Column:
 
 def split_terms(x: Column, separators: str = "[;,]") -> Column:
     """Trimmed terms between separators, without empty ones."""
-    return F.filter(F.transform(F.split(x, separators), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(x, separators), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def to_rna(x: Column) -> Column:

@@ -199,22 +199,25 @@ def f26(spark: SparkSession, sf: str) -> DataFrame:
     """The prediction repeats the codon before; the first one is AUG."""
     c = S.codons(F.col("rna"))
     rows = cds(spark, sf).select("doc_id", "translation_table", c.alias("truth"), F.concat(F.array(F.lit("AUG")), F.slice(c, F.lit(1), F.size(c) - 1)).alias("predicted"))
-    return rows.select("doc_id", reconstruction("truth", "predicted", F.col("translation_table")).alias("m")).select("doc_id", "m.*")
+    return reconstruction(rows, "truth", "predicted", "translation_table").drop("translation_table")
 
 
-def reconstruction(truth: str, predicted: str, table_id) -> F.Column:
-    """Struct of how a predicted codon array meets the true one of equal length."""
-    code = F.element_at(F.array(*[F.lit(codes.amino_acids(t)) for t in codes.TABLES]), table_id)
-    aa = lambda c: F.substring(code, S.codon_index(c, codes.CODE_ORDER) + 1, F.lit(1))
+def reconstruction(df: DataFrame, truth: str, predicted: str, table_col: str) -> DataFrame:
+    """How a predicted codon array meets the true one of equal length; the two columns become metrics."""
+    code = F.element_at(F.array(*[F.lit(codes.amino_acids(t)) for t in codes.TABLES]), F.col(table_col))
+    aa = lambda c: F.substring("__code", S.codon_index(c, codes.CODE_ORDER) + 1, F.lit(1))
+    keep = [c for c in df.columns if c not in (truth, predicted)]
     kinds = F.zip_with(
         truth,
         predicted,
         lambda t, p: F.when(t == p, 0).when(aa(t) == aa(p), 1).when((aa(p) == "*") & (aa(t) != "*"), 2).otherwise(3),
     )
-    n = lambda *k: F.size(F.filter(kinds, lambda x: x.isin(*k))).cast("long")
-    wrong = F.transform(kinds, lambda x: (x > 0).cast("int"))
-    return F.struct(
-        (n(0) == F.size(truth)).alias("exact_span"),
+    rows = df.withColumn("__code", code).select(*keep, kinds.alias("__kinds"))
+    n = lambda *k: F.size(F.filter("__kinds", lambda x: x.isin(*k))).cast("long")
+    wrong = F.transform("__kinds", lambda x: (x > 0).cast("int"))
+    return rows.select(
+        *keep,
+        (n(0) == F.size("__kinds")).alias("exact_span"),
         n(0).alias("codons_correct"),
         n(0, 1).alias("aas_correct"),
         n(1).alias("synonymous_errors"),

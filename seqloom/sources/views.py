@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import codons
@@ -70,11 +70,26 @@ CODONS_SQL = f"""{CDS_SQL}, split AS (SELECT * EXCLUDE (rna), regexp_extract_all
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, pos from 0, x): events of a user in order of time, as a positional series."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    events = table(spark, sf_dir, "events")
-    return events.select("user_id", (F.row_number().over(order) - 1).alias("pos"), F.coalesce("value", F.lit(0.0)).alias("x"))
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.coalesce("value", F.lit(0.0)).alias("x"))
+    return positions(events, ["user_id"], F.date_trunc("hour", "ts"), ["ts", "event_id"]).select("user_id", "pos", "x")
+
+
+def positions(df: DataFrame, group: list[str], bucket: F.Column, order: list[str], weight: F.Column | None = None) -> DataFrame:
+    """df with pos: how many rows (or what sum of weights) of its group stand before each row.
+
+    bucket must not fall along the order. Rows are ranked within a bucket, and only the buckets'
+    totals are added up over the group, so a hot group (or the whole table, with no group) is
+    never sorted in one task."""
+    rows = df.withColumns({"__b": bucket, "__w": F.lit(1).cast("long") if weight is None else weight})
+    totals = rows.groupBy(*group, "__b").agg(F.sum("__w").alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    start = totals.select(*[F.col(g).alias(f"__{g}") for g in group], F.col("__b").alias("__c"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(*group, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__in", F.coalesce(F.sum("__w").over(inside), F.lit(0)))
+    same = F.col("__b").eqNullSafe(F.col("__c"))
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"__{g}"))
+    return rows.join(start, same).select(*df.columns, (F.col("__start") + F.col("__in")).alias("pos"))
 
 
 COVERAGE_SQL = "cov AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, coalesce(value, 0) AS x FROM events)"
