@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import registry
-from .operators import dedup, gates, joins, language_models, profiles, sampling, scalars  # noqa: F401  importing a module registers its queries
+from .operators import dedup, gates, joins, language_models, profiles, sampling, scalars, similarity  # noqa: F401  importing a module registers its queries
+from .streaming import ledger  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
