@@ -39,6 +39,14 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, lengthened until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """DataFrame.checkpoint() with the folder taken from the session."""
     shared_dir(df.sparkSession)
