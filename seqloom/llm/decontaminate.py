@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import Scratch
+from ..plans.storage import Scratch, unused
 from .joins import keep_keys
 
 WHITE = "[\\x20\\x09-\\x0D]+"
@@ -96,8 +96,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
     keyed = docs.select(F.md5(F.col(text_col).cast("binary")).alias("doc_id"), F.col(text_col).alias("text"))
     found = find_items(keyed, items, width=width, threshold=threshold).select("doc_id").distinct()
     found = Scratch(docs.sparkSession, "decontaminate").write(found, "contaminated")
-    marked = docs.withColumn("__key", F.md5(F.col(text_col).cast("binary")))
-    return keep_keys(marked, found.withColumnRenamed("doc_id", "__key"), "__key", "left_anti").select(*docs.columns)
+    key = unused(docs, "__key")
+    marked = docs.withColumn(key, F.md5(F.col(text_col).cast("binary")))
+    return keep_keys(marked, found.withColumnRenamed("doc_id", key), key, "left_anti").select(*docs.columns)
 
 
 SQL = """

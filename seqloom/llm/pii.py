@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import Scratch
+from ..plans.storage import Scratch, unused
 
 #: Fixed patterns and their order.
 KINDS = ("email", "ip", "card", "phone")
@@ -193,8 +193,9 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     terms = F.transform(
         "added", lambda t: F.struct(t["start"], t["end"], F.when(t["share"] >= REMOVE, "").otherwise(general(t)).alias("put"))
     )
-    marks = marks.groupBy("row_key").agg(F.first(F.array_sort(F.concat(base, terms))).alias("__marks"))
-    keyed = df.withColumn("__key", row_key(id_col, text_col)).join(marks.withColumnRenamed("row_key", "__key"), "__key", "left")
+    key, marked, new = (unused(df, c) for c in ("__key", "__marks", "__new"))
+    marks = marks.groupBy(F.col("row_key").alias(key)).agg(F.first(F.array_sort(F.concat(base, terms))).alias(marked))
+    keyed = df.withColumn(key, row_key(id_col, text_col)).join(marks, key, "left")
     text = F.col(text_col)
 
     def step(acc, m):
@@ -204,9 +205,12 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
 
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate(
-        "__marks", state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+        marked, state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
     )
-    put = {text_col: clean}
+    # a column of its own: in one select, the length would see the new text's alias and clean it once more
+    keyed = keyed.withColumn(new, F.when(F.col(marked).isNotNull(), clean))
+    put = {text_col: F.coalesce(new, text_col).alias(text_col)}
     if length_col in df.columns:
-        put[length_col] = F.length(clean).cast(dict(df.dtypes)[length_col])
-    return keyed.select(*[F.when(F.col("__marks").isNull(), F.col(c)).otherwise(put[c]).alias(c) if c in put else F.col(c) for c in df.columns])
+        length = F.length(new).cast(dict(df.dtypes)[length_col])
+        put[length_col] = F.when(F.col(marked).isNull(), F.col(length_col)).otherwise(length).alias(length_col)
+    return keyed.select(*[put.get(c, F.col(c)) for c in df.columns])

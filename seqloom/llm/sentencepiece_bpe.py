@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from itertools import chain, count, islice, pairwise
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -240,7 +241,7 @@ def sentencepiece_decode(df: DataFrame, model_file: str, ids_col: str = "ids", o
     """Adds the text of an array of ids; null ids give null."""
 
     @F.pandas_udf("string")
-    def text_of(chunks: Iterator) -> Iterator:
+    def text_of(chunks: Iterator[pd.Series]) -> Iterator[pd.Series]:
         v = Vocabulary(model_file)
         for ids in chunks:
             yield ids.map(lambda x: None if x is None else v.decode(x))

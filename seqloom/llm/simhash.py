@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.graph import connected_components
-from ..plans.storage import Scratch
+from ..plans.storage import Scratch, unused
 
 SEED = 42
 #: Hashes held at a time.
@@ -168,13 +168,14 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     The row is chosen by fingerprint first, with partial aggregation, so a large group of copies is
     never joined or gathered; only the rows that go are then looked up."""
     scratch = Scratch(df.sparkSession, "simhash")
-    fp = fingerprint_of(shingle)(F.col(text_col).cast("string"))
-    rows = scratch.write(df.select(*df.columns, fp.alias("__fp"), F.monotonically_increasing_id().alias("__row")), "rows")
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), "__row")
-    fps = scratch.write(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(order).alias("best")), "distinct")
+    fp, row = unused(df, "__fp"), unused(df, "__row")
+    made = fingerprint_of(shingle)(F.col(text_col).cast("string"))
+    rows = scratch.write(df.select(*df.columns, made.alias(fp), F.monotonically_increasing_id().alias(row)), "rows")
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    fps = scratch.write(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("best")), "distinct")
     parts = connected_components(links(fps), "fp", "hub")
     best = fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("component", "fp").alias("part")).agg(F.min("best").alias("best"))
-    return rows.join(best.select("best.__row"), "__row", "left_semi").select(*df.columns)
+    return rows.join(best.select(F.col("best.row").alias(row)), row, "left_semi").select(*df.columns)
 
 
 def as_hex(fp: F.Column) -> F.Column:

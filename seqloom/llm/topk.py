@@ -97,7 +97,7 @@ NO_BOUND = -(2**62)
 def _first_bounds(queries: DataFrame, leaders: list, k: int) -> DataFrame:
     """Adds `bound`: the k-th best score among the leaders."""
     ids = np.array([r["id"] for r in leaders], np.int64)
-    matrix = np.array([r["v"] for r in leaders], np.float64).reshape(len(leaders), -1)
+    matrix = np.array([r["v"] for r in leaders], np.float64).reshape(len(leaders), len(leaders[0]["v"]) if leaders else 0)
     shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

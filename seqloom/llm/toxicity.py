@@ -24,13 +24,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import unused
+
 #: Seed words of the kinds, fixed.
 SEEDS = {
     "insult": ("idiot", "moron", "loser", "clown", "scum"),
     "contempt": ("disgusting", "pathetic", "stupid", "trash", "worthless"),
 }
 CHAIN = (*SEEDS, "toxic")
-SAMPLE, WORDS, LEAST_ROWS, FOLDS, RIDGE, THRESHOLD = 8000, 200, 5, 3, 1.0, 0.5
+SAMPLE, WORDS, LEAST_ROWS, FOLDS, RIDGE, THRESHOLD, PRECISION = 12_000, 200, 5, 3, 1.0, 0.5, 0.97
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -60,10 +62,10 @@ def _chance(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 class Chain:
-    """vocabulary: word -> column; weights: one vector for each category of CHAIN."""
+    """vocabulary: word -> column; weights: one vector for each category of CHAIN; threshold: of the last one."""
 
-    def __init__(self, vocabulary: dict[str, int], weights: list[np.ndarray]):
-        self.vocabulary, self.weights = vocabulary, weights
+    def __init__(self, vocabulary: dict[str, int], weights: list[np.ndarray], threshold: float = THRESHOLD):
+        self.vocabulary, self.weights, self.threshold = vocabulary, weights, threshold
 
     def columns(self, text: str | None) -> list[int]:
         return sorted(self.vocabulary[w] for w in words_of(text) & self.vocabulary.keys())
@@ -87,7 +89,7 @@ def _dense(present: list[list[int]], width: int) -> np.ndarray:
 
 def fit_chain(vocabulary: dict[str, int], present: list[list[int]], marks: np.ndarray, fold: np.ndarray) -> Chain:
     """marks: 0/1, a column for each category; fold: a number below FOLDS for each row."""
-    x, weights = _dense(present, len(vocabulary)), []
+    x, weights, unseen = _dense(present, len(vocabulary)), [], np.zeros(len(present))
     for k in range(marks.shape[1]):
         y = marks[:, k].astype(float)
         weights.append(_logistic(x, y))
@@ -97,7 +99,23 @@ def fit_chain(vocabulary: dict[str, int], present: list[list[int]], marks: np.nd
             if out.any():
                 unseen[out] = _chance(x[out], _logistic(x[~out], y[~out])) if (~out).any() else y.mean()
         x = np.column_stack([x, unseen])
-    return Chain(vocabulary, weights)
+    return Chain(vocabulary, weights, best_threshold(unseen, marks[:, -1] == 1))
+
+
+def best_threshold(chance: np.ndarray, label: np.ndarray) -> float:
+    """The threshold with the best recall among those of PRECISION or more over out-of-fold chances:
+    halfway (in log odds) between the least chance it takes and the next one below, THRESHOLD at most.
+    THRESHOLD where no threshold is that precise."""
+    order = np.argsort(-chance, kind="stable")
+    hits, taken = np.cumsum(label[order]), np.arange(1, len(label) + 1)
+    last = np.append(chance[order][1:] < chance[order][:-1], True)  # ties are taken together
+    recall = np.where(last & (hits >= PRECISION * taken), hits, 0)
+    k = int(np.argmax(recall))
+    if not recall[k]:
+        return THRESHOLD
+    odds = lambda p: np.log(p / (1 - p))
+    edge = np.clip(chance[order][[k, min(k + 1, len(label) - 1)]], 1e-9, 1 - 1e-9)
+    return float(min(THRESHOLD, 1 / (1 + np.exp(-odds(edge).mean()))))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
@@ -142,11 +160,13 @@ def scorer(chain: Chain):
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, p_insult, p_contempt, p_toxic, toxic) of every document."""
-    rows = docs.select("doc_id", scorer(train(docs, labels))("text").alias("p")).select("doc_id", "p.*")
-    return rows.withColumn("toxic", (F.col("p_toxic") >= THRESHOLD).cast("int"))
+    chain = train(docs, labels)
+    rows = docs.select("doc_id", scorer(chain)("text").alias("p")).select("doc_id", "p.*")
+    return rows.withColumn("toxic", (F.col("p_toxic") >= chain.threshold).cast("int"))
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those whose last category is THRESHOLD or likelier."""
-    marked = docs.withColumn("__p", scorer(train(docs, labels))("text"))
-    return marked.where(F.col("__p.p_toxic") < THRESHOLD).select(*docs.columns)
+    """docs without those whose last category is as likely as the chain's threshold or likelier."""
+    chain, p = train(docs, labels), unused(docs, "__p")
+    marked = docs.withColumn(p, scorer(chain)("text"))
+    return marked.where(F.col(p)["p_toxic"] < chain.threshold).select(*docs.columns)
