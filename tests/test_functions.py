@@ -121,6 +121,28 @@ def test_provenance_conflicts_and_priority(spark):
     assert found == {"s": (3, "b", "b,a", False), "x": (2, "a", "a", True)}
 
 
+def test_identity_gate_classes(spark):
+    from seqloom.operators import alignment
+
+    refs = spark.createDataFrame([("k", "MPSV"), ("k", "MPSVQQ")], "key string, reference string")
+    seqs = ["MPSV", "MQSV", "MMPSV", "MPS", "MPSVQQ", "WWWW"]
+    df = spark.createDataFrame([("k", s) for s in seqs], "key string, seq string")
+    rows = alignment.identity_gate(df, refs, "key", "seq", "reference", 0.7, alignment.ENDS_FREE).collect()
+    found = {r.seq: (r.variant, r.identity, r.accepted) for r in rows}
+    assert found["MPSV"] == ("EXACT_MATCH", 1.0, True) and found["MPSVQQ"] == ("EXACT_MATCH", 1.0, True)
+    assert found["MQSV"] == ("SUBSTITUTION_ONLY", 0.75, True)
+    assert found["MMPSV"] == ("N_TERMINAL_EXTENSION", 1.0, True)
+    assert found["MPS"] == ("C_TERMINAL_TRUNCATION", 0.75, True)
+    assert not found["WWWW"][2]
+
+
+def test_sequence_identity(spark):
+    from seqloom.operators import alignment
+
+    df = spark.createDataFrame([("AUGA", "AUGA"), ("AUGA", "AUCA"), ("AUGAA", "AUAA"), (None, "A")], "a string, b string")
+    assert [r.i for r in alignment.sequence_identity(df, "a", "b", "i").collect()] == [1.0, 0.75, 0.8, None]
+
+
 def records(spark, seqs):
     rows = [(k, s, f"{s}", f, t) for k, (s, f, t) in enumerate(seqs)]
     return spark.createDataFrame(rows, "doc_id long, rna string, sequence_sha256 string, family string, taxon string")
