@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import hamming, r6
 from ..plans.graph import connected_components
+from ..plans.storage import Scratch
 from ..registry import query
 from ..sources.views import CDS_SQL, cds, table
 
@@ -22,15 +23,21 @@ def similar_pairs(records: DataFrame, threshold: float, block: list[str] = BLOCK
     """(block, n, a, b, differences): distinct sequences of equal length n whose share of equal places is
     threshold or more, a < b."""
     bound = F.floor((1 - threshold) * F.col("n") + 1e-10).cast("int")
+    scratch = Scratch(records.sparkSession, "similar")
     unique = records.groupBy(*block, "sequence_sha256").agg(F.first("rna").alias("rna")).withColumn("n", F.length("rna"))
+    unique = scratch.write(unique, "unique")  # read three times; records may be costly to make
     k = F.col("bound") + 1
     cut = lambda i: F.floor(i.cast("long") * F.col("n") / k).cast("int")
     segments = F.transform(F.sequence(F.lit(0), F.col("bound")), lambda i: F.xxhash64(i, F.substring("rna", cut(i) + 1, cut(i + 1) - cut(i))))
-    keys = unique.withColumn("bound", bound).select(*block, "n", "sequence_sha256", F.explode(segments).alias("segment"))
+    lengths = unique.groupBy(*block, "n").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    keys = unique.join(lengths, [*block, "n"], "left_semi").withColumn("bound", bound).select(*block, "n", "sequence_sha256", F.explode(segments).alias("segment"))
     a = keys.withColumnRenamed("sequence_sha256", "a")
     b = keys.withColumnRenamed("sequence_sha256", "b")
     met = a.join(b, [*block, "n", "segment"]).where("a < b").select(*block, "n", "a", "b").distinct()
-    text = records.groupBy("sequence_sha256").agg(F.first("rna").alias("rna"))
+    text = unique.groupBy("sequence_sha256").agg(F.first("rna").alias("rna")) if block else unique.select("sequence_sha256", "rna")
+    met = scratch.write(met, "met")
+    some = met.select(F.explode(F.array("a", "b")).alias("sequence_sha256")).distinct()
+    text = scratch.write(text.join(some, "sequence_sha256", "left_semi"), "text")
     rows = met.join(text.toDF("a", "ra"), "a").join(text.toDF("b", "rb"), "b")
     return rows.withColumn("differences", hamming(F.col("ra"), F.col("rb"))).withColumn("bound", bound).where("differences <= bound").select(*block, "n", "a", "b", "differences")
 
