@@ -113,3 +113,37 @@ def test_streams(spark, tmp_path):
         ledger.upsert_stream(ledger.observations(spark, str(source), schema), str(tmp_path / "store"), str(tmp_path / "ckpt"), "raw_sha256", ["accession", "observation"], "n", "ts").awaitTermination(120)
     got = {r.raw_sha256: (r.accession, r.observation, r.n) for r in spark.read.parquet(f"{tmp_path}/store/v=1").collect()}
     assert got == {"s1": (["A1", "A2", "A3"], ["o1", "o2", "o4"], 9), "s2": (["B"], ["o3"], 3)}
+
+
+def test_receipts(spark):
+    from seqloom.operators.audits import check_receipts
+
+    want = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "name string, d string")
+    have = spark.createDataFrame([("a", "1"), ("b", "x"), ("e", "5")], "name string, d string")
+    found = {r["name"]: r["state"] for r in check_receipts(want, have, "name", "d").collect()}
+    assert found == {"a": "ok", "b": "drift", "c": "missing", "e": "unlisted"}
+
+
+def test_offsets(spark):
+    from seqloom.operators.audits import offset_breaks
+
+    rows = [("good", 0, 3), ("good", 3, 2), ("good", 5, 4), ("gap", 0, 3), ("gap", 4, 1), ("late", 1, 5)]
+    spans = spark.createDataFrame(rows, "store string, start long, n long")
+    found = {r["store"]: tuple(r)[1:] for r in offset_breaks(spans, "store", "start", "n").collect()}
+    # in gap one span ends at 3 where none starts; its last end, 5, lies beyond the total
+    assert found == {"good": (3, 9, True, 0, 0), "gap": (2, 4, True, 1, 1), "late": (1, 5, False, 0, 1)}
+
+
+def test_first_error_and_banks(spark):
+    from pyspark.sql import functions as F
+
+    from seqloom.operators.audits import candidate_banks, family_macro, first_error, lenient_codons
+
+    pairs = spark.createDataFrame([(["A", "B"], ["A", "B"]), (["A", "B"], ["A", "C"]), (["A"], ["A", "C"]), ([], [])], "t array<string>, p array<string>")
+    assert [r[0] for r in pairs.select(first_error(F.col("t"), F.col("p"))).collect()] == [None, 2, None, None]
+    texts = spark.createDataFrame([("acgtnnACGa",), ("",), (None,)], "t string")
+    assert [r[0] for r in texts.select(lenient_codons(F.col("t"))).collect()] == [["ACG", "ACG"], [], None]
+    cases = spark.createDataFrame([(1, "x", "s"), (2, "x", "t"), (3, "y", "s")], "doc_id long, prefix string, suffix string")
+    assert sorted(tuple(r)[1:] for r in candidate_banks(cases, "prefix").collect()) == [(1, 3, 1), (2, 1, 2)]
+    losses = spark.createDataFrame([("big", 8.0, 8), ("big", 8.0, 8), ("small", 6.0, 2)], "f string, l double, n long")
+    assert tuple(family_macro(losses, "f", "l", "n").first()) == (2, round(22 / 18, 6), 2.0)
