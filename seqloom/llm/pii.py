@@ -1,14 +1,17 @@
 """Personal data: base patterns, and terms that reveal a protected entity (information-theoretic).
 
-Entities are the values the base patterns find. Over the whole corpus three things are counted:
-occurrences of each word form, of each entity, and of words beside an entity (within REACH
-characters on either side). With p(e) the chance that a place in the corpus belongs to entity e
-and p(e|t) the share of t's occurrences that stand beside e, the pointwise mutual information
-log p(e|t)/p(e) says how much of the information IC(e) = -log p(e) a reader gains from t. Their
-ratio is the disclosure, 1 when t never stands elsewhere. Terms beside e with a disclosure of
-GENERALISE or more are replaced by what kind of thing they are, of REMOVE or more they go; terms
-seen beside e fewer than SUPPORT times say nothing about it. Documents without an entity are
-left alone.
+Entities are the values the base patterns find. Over the whole corpus three things are counted, in
+documents: those that hold a term, those that hold an entity, and those that hold both. With p(e)
+the chance that a document holds entity e and p(e|t) the chance that one with term t does, the
+pointwise mutual information log p(e|t)/p(e) says how much of the information IC(e) = -log p(e) a
+reader gains from t. Their ratio is the disclosure, 1 when t surely means e. p(e|t) is estimated
+with one prior observation of chance p(e), (both + p(e)) / (n(t) + 1): entities seen once are judged
+too, and little evidence gives a lower disclosure, not none. Wherever terms with a disclosure of
+GENERALISE or more stand in a document that holds e, they are replaced by what kind of thing they
+are, of REMOVE or more they go. Documents without an entity are left alone.
+
+No term in more than (n(e) + p(e)) p(e)^(GENERALISE - 1) - 1 documents can tell of e, so a document's
+terms are cut to those that can tell of one of its entities before pairs are made; nothing is lost.
 
 All of it is DataFrame functions. Offsets count code points, ends are exclusive. Patterns are
 written so that no text makes them backtrack: a run of characters is tried from its start only,
@@ -41,7 +44,7 @@ HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-
 BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 LABELS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
 TERM = r"[\p{L}\p{N}]{3,}+"
-REACH, SUPPORT, GENERALISE, REMOVE = 48, 3, 0.8, 0.95
+GENERALISE, REMOVE = 0.8, 0.95
 
 
 def _digits(x: F.Column) -> F.Column:
@@ -86,6 +89,7 @@ def _matches(text: F.Column, pattern: str) -> F.Column:
 
 
 NONE = "array<struct<start:int,rank:int,end:int,value:string>>"
+PLACES = "array<struct<start:int,end:int,value:string,share:double>>"
 
 
 def _of_kind(text: F.Column, kind: str) -> F.Column:
@@ -103,20 +107,24 @@ def base_spans(text: F.Column) -> F.Column:
     return F.array_sort(F.concat(*[_of_kind(text, k) for k in KINDS]))
 
 
-def _beside(text: F.Column, span: F.Column) -> F.Column:
-    """Whole terms near a span: array<struct<start,value>>. A term cut by the edge of the stretch is left out."""
-    begin = F.greatest(F.lit(0), span["start"] - REACH)
-    left = F.substring(text, begin + 1, span["start"] - begin)
-    right = F.substring(text, span["end"] + 1, F.lit(REACH))
+def _terms(text: F.Column) -> F.Column:
+    """Distinct lower-cased terms."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
-    def placed(stretch, offset, keep):
-        inside = F.filter(_matches(stretch, TERM), lambda m: keep(m, stretch))
-        return F.transform(inside, lambda m: F.struct((m["start"] + offset).alias("start"), m["value"].alias("value")))
 
-    return F.concat(
-        placed(left, begin, lambda m, s: (m["start"] > 0) | (begin == 0)),
-        placed(right, span["end"], lambda m, s: (m["start"] + F.length(m["value"]) < F.length(s)) | (F.length(s) < REACH)),
-    )
+def _places(text: F.Column, shares: F.Column) -> F.Column:
+    """array<struct<start,end,value,share>> of the terms of a text that shares (a map) has."""
+    found, between = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1)
+    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda v, g: F.struct(v.alias("value"), F.length(g).alias("gap"), shares[F.lower(v)].alias("share")))
+    state = F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("out"))
+
+    def step(acc, x):
+        begin = acc["at"] + x["gap"]
+        end = begin + F.length(x["value"])
+        item = F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"), x["share"].alias("share"))
+        return F.struct(end.alias("at"), F.when(x["share"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(item))).alias("out"))
+
+    return F.aggregate(pairs, state, step, lambda acc: acc["out"])
 
 
 def row_key(id_col: str, text_col: str) -> F.Column:
@@ -131,39 +139,48 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     with their disclosure, none of which overlaps a base span."""
     scratch = Scratch(df.sparkSession, "pii")
     rows = df.select(F.col(id_col), row_key(id_col, text_col).alias("row_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = rows.withColumn("base", base_spans(F.col("text")))
-    context = F.transform("base", lambda s: F.struct(F.concat_ws(":", s["rank"], F.lower(s["value"])).alias("entity"), _beside(F.col("text"), s).alias("terms")))
-    found = scratch.write(found.select(id_col, "row_key", "base", F.when(F.size("base") > 0, context).alias("context")), "base")
-
-    forms = rows.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
-    forms = scratch.write(forms.groupBy("term").agg(F.count("*").alias("n_term")), "forms")
-    total = forms.agg(F.coalesce(F.sum("n_term"), F.lit(1))).first()[0]
-
-    seen = found.where(F.size("base") > 0).select("row_key", F.inline("context"))
-    places = seen.select("entity", "row_key", F.inline("terms")).withColumn("term", F.lower("value"))
-    entities = seen.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # a place beside two mentions of one entity counts once; repeated rows count each time in forms
-    pairs = places.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
-    share = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
-    ic = -F.log2(F.col("n_entity") / F.lit(float(max(total, 2))))
+    found = rows.withColumn("base", base_spans(F.col("text"))).withColumn("row", F.monotonically_increasing_id())
+    entity = F.transform("base", lambda s: F.concat_ws(":", s["rank"], F.lower(s["value"])))
+    found = found.select("row", id_col, "row_key", "base", F.array_distinct(entity).alias("entities"), F.when(F.size("base") > 0, F.col("text")).alias("text"))
+    found = scratch.write(found, "base")
+    held, total = found.where(F.size("base") > 0), F.lit(float(max(found.count(), 2)))
+
+    forms = rows.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    forms = scratch.write(forms, "forms")
+    mine = held.select("row", F.explode("entities").alias("entity"))
+    chance = F.least(F.lit(1.0), F.col("n_entity") / total)
+    entities = mine.groupBy("entity").agg(F.count("*").alias("n_entity")).withColumn("chance", chance)
+    entities = entities.withColumn("most", (F.col("n_entity") + F.col("chance")) * F.pow("chance", F.lit(GENERALISE - 1)) - 1 + 1e-6)
+    entities = scratch.write(entities, "entities")
+    highest = entities.agg(F.coalesce(F.max("most"), F.lit(0.0))).first()[0]
+    each = F.collect_list(F.struct("entity", "n_entity", "chance", "most"))
+    per_row = mine.join(entities, "entity").groupBy("row").agg(each.alias("each"), F.max("most").alias("most"))
+
+    terms = held.select("row", F.explode(_terms(F.col("text"))).alias("term")).join(forms.where(F.col("n_term") <= highest), "term")
+    both = terms.join(per_row, "row").where("n_term <= most")
+    both = both.select("row", "term", "n_term", F.inline(F.filter("each", lambda e: e["most"] >= F.col("n_term")))).drop("most")
+    both = scratch.write(both, "both")
+    ic = -F.log2("chance")
+    share = 1 + F.log2((F.col("n_both") + F.col("chance")) / (F.col("n_term") + 1)) / ic
     telling = (
-        pairs.join(forms, "term")
-        .join(entities, "entity")
-        .withColumn("share", F.when(ic > 0, 1 + F.log2(share) / ic).otherwise(0.0))
+        both.groupBy("entity", "term", "n_term", "chance")
+        .agg(F.count("*").alias("n_both"))
+        .withColumn("share", F.when(ic > 0, share).otherwise(0.0))
         .where(F.col("share") >= GENERALISE)
         .select("entity", "term", "share")
     )
     telling = scratch.write(telling, "telling")
-    added = (
-        places.join(telling, ["entity", "term"])
-        .groupBy("row_key", "start", "value")
+    shares = (
+        both.join(telling, ["entity", "term"])
+        .groupBy("row", "term")
         .agg(F.max("share").alias("share"))
-        .groupBy("row_key")
-        .agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.length("value")).alias("end"), "value", "share"))).alias("near"))
+        .groupBy("row")
+        .agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
     )
+    near = F.when(F.col("shares").isNotNull(), _places(F.col("text"), F.col("shares")))
     free = F.filter("near", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    none = F.array().cast("array<struct<start:int,end:int,value:string,share:double>>")
-    return found.join(added, "row_key", "left").select(id_col, "row_key", "base", F.coalesce(free, none).alias("added"))
+    found = found.join(shares, "row", "left").withColumn("near", near)
+    return found.select(id_col, "row_key", "base", F.coalesce(free, F.array().cast(PLACES)).alias("added"))
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
