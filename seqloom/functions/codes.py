@@ -14,9 +14,8 @@ BASES = "AUCG"
 CODE_ORDER = "UCAG"
 CODONS = ["".join(c) for c in product(BASES, repeat=3)]
 
-# The standard code in CODE_ORDER, and what other tables change (DNA letters as published).
-STANDARD = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAADDEEGGGG"
-STANDARD = STANDARD.replace("AADDEE", "AAAADDEE")
+# The standard genetic code in CODE_ORDER as NCBI's table 1 gives it, and what other tables change (DNA letters as published).
+STANDARD = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 CHANGES = {
     2: {"AGA": "*", "AGG": "*", "ATA": "M", "TGA": "W"},
     3: {"ATA": "M", "CTT": "T", "CTC": "T", "CTA": "T", "CTG": "T", "TGA": "W"},

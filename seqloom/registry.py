@@ -3,21 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans.storage import settled
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def whole(f: Query) -> Query:
+    """f, with the scratch tables it makes on the way deleted before it returns."""
+
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return settled(spark, f.__name__, lambda: f(spark, sf_dir))
+
+    return run
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Registers a function of (spark, sf_dir) under a name."""
 
     def keep(f: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = f
+        QUERIES[name] = whole(f)
         if sql is not None:
             SQL[name] = sql
         return f
