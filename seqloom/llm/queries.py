@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, pii, quality, simhash, substring_dedup, topk, toxicity, url_filter, warc
 from ..plans.storage import Scratch
+from ..registry import whole
 from .sentencepiece_bpe import digests, sentencepiece_encode
 
 
@@ -73,7 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        f.__name__: f
+        f.__name__: whole(f)
         for f in (
             op1_sentencepiece,
             op2_decontaminate,

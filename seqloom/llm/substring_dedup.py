@@ -3,104 +3,93 @@
 Documents are packed once into blocks of a few MB (one row each) in a table bucketed by block,
 so later joins bring small answers to the blocks and never move the texts again.
 
-1. Sketch. Each block counts its windows in `depth` rows of hashed cells. A partition's sketch
-   is sparse (sorted cell numbers, delta-coded, with the cells it counted twice), because a dense
-   one wide enough for the corpus would fit neither a task nor a broadcast; cells are dealt to
-   shards, where sketches merge by adding counts. The width grows with the corpus (16 cells a
-   window and row), so the share of overestimates stays the same at every size. A block gets
-   back one bit for each of its cells: counted twice or more.
-2. Exact grouping. A window whose least count is two or more in every row may be repeated; the
-   others can't be, as a sketch only overestimates. Of the former a block sends each distinct
-   window once, with its first place, so a passage in every document costs each block one entry.
-   A shard groups them by their 128-bit hash and tells each block which of its windows start
-   earlier elsewhere. Within a block, later places are found locally.
+1. Sketch. A window stands for its anchor: of the runs of words that it is made of (GRAM words
+   each), the one with the least hash, leftmost of equals. Equal windows have equal anchors at equal
+   places, so a window occurs at most as often as its anchor, and neighbouring windows share one: a
+   sketch of anchors overestimates windows and has about a seventh of the entries. Every block makes
+   a count-min sketch of its anchors, DEPTH rows of hashed cells, as rows (cell, count up to two) of
+   the cells that are not zero. Sketches are merged by adding the counts of a cell, in Spark; a block
+   gets back its cells that are counted twice or more. The width grows with the corpus (CELLS cells a
+   window), so the share of overestimates stays the same at every size.
+2. Exact grouping. A window whose anchor's cells are all counted twice or more may be repeated; the
+   others can't be. Of the former, each block sends every distinct one once, with its first place:
+   its key is a 128-bit keyed BLAKE2 digest of its words (the key is drawn for each run, so no text
+   can aim at a collision), and Spark finds each key's first place. A block hears which of its windows
+   start earlier elsewhere; within a block, later places of a key are found locally. As a block sends
+   a key or a cell once, a passage that stands in every document costs one row a block.
 3. Removal. Words covered by a window that starts earlier elsewhere go.
 
-Defined results: null text has no words; a text shorter than a window loses nothing; places are
-compared by (doc_id, word number), so rows with equal doc_id and text are one and the same place
+Defined results: null or blank text has no words; a text shorter than a window loses nothing; a very
+long text is a block of its own and is searched whole; of equal windows the first place stays, places
+being compared by (doc_id, word number), so rows with equal doc_id and text are one and the same place
 and neither is later; a null doc_id stands before all others; white space in the kept text is a
 single space; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
-import uuid
+import secrets
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import Scratch
 
 WINDOW = 20
-#: Bytes of text in a block, windows in a shard of the sketch and of the exact grouping.
-BLOCK_BYTES, SKETCH_SHARD, EXACT_SHARD = 4_000_000, 3_000_000, 1_500_000
-#: Rows of the sketch, and cells a window and row.
-DEPTH, CELLS_PER_WINDOW = 2, 16
+#: Bytes of text in a block.
+BLOCK_BYTES = 4_000_000
+#: Rows of the sketch, and cells a window in each.
+DEPTH, CELLS = 2, 16
 
 _U = np.uint64
-#: Odd multipliers and finalisers of the two hashes.
-_BASES = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
-_MIXES = ((_U(0xFF51AFD7ED558CCD), _U(0xC4CEB9FE1A85EC53)), (_U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)))
-_BYTE_VALUES = np.random.Generator(np.random.PCG64(20)).integers(1, 2**63, (2, 256), np.uint64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def _mix(x: np.ndarray, lane: int) -> np.ndarray:
-    a, b = _MIXES[lane]
-    x = (x ^ (x >> _U(33))) * a
-    x = (x ^ (x >> _U(29))) * b
-    return x ^ (x >> _U(32))
+_MIX = (_U(0xFF51AFD7ED558CCD), _U(0xC4CEB9FE1A85EC53))
+_BASE = 0x9E3779B97F4A7C15
+_BYTE_VALUES = np.random.Generator(np.random.PCG64(20)).integers(1, 2**63, 256, np.uint64)
 
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0..n-1 modulo 2 ** 64."""
-    out = np.ones(max(n, 1), np.uint64)
-    have = 1
-    with np.errstate(over="ignore"):
-        while have < n:
-            step = out[have - 1] * base
-            more = min(have, n - have)
-            out[have : have + more] = out[:more] * step
-            have += more
-    return out[:n]
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(33))) * _MIX[0]
+    x = (x ^ (x >> _U(29))) * _MIX[1]
+    return x ^ (x >> _U(32))
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words in bytes that end with white space."""
-    space = _SPACE[data]
-    before = np.append(True, space[:-1])
-    return np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0..n-1 modulo 2 ** 64, by doubling."""
+    out, have = np.ones(max(n, 1), np.uint64), 1
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = out[:more] * _U(pow(base, have, 1 << 64))
+        have += more
+    return out[:n]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int) -> np.ndarray:
-    """A hash of each word, from sums of byte values times powers: no Python object per word."""
-    powers = _power(_BASES[lane], len(data))
-    sums = np.append(_U(0), np.cumsum(_BYTE_VALUES[lane][data] * powers))
-    inverse = _power(_U(pow(int(_BASES[lane]), -1, 1 << 64)), len(data) + 1)
-    return _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64), lane)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word, from sums of byte values times powers: no Python object per word.
+    Different words may share one; the sketch then overestimates."""
+    sums = np.append(_U(0), np.cumsum(_BYTE_VALUES[data] * _powers(_BASE, len(data))))
+    inverse = _powers(pow(_BASE, -1, 1 << 64), len(data) + 1)
+    return _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def window_hashes(words: np.ndarray, width: int, lane: int) -> np.ndarray:
-    """A hash of every `width` consecutive word hashes, built from windows of doubled width."""
-    out, have, level, at = None, 0, words, 1
-    while True:
-        if width & at:
-            if out is None:
-                out, have = level, at
-            else:
-                n = len(words) - have - at + 1
-                out = _mix(out[:n] * _BASES[0] + level[have : have + n], lane)
-                have += at
-        at *= 2
-        if at > width:
-            return out
-        level = _mix(level[: len(level) - at // 2] * _BASES[1] + level[at // 2 :], lane)
+def anchors(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window of `width` word hashes: where its anchor begins; and the hash of the run of words at every place."""
+    gram = max(1, 2 * width // 5)
+    runs = words[: len(words) - gram + 1].copy()
+    for k in range(1, gram):
+        runs = _mix(runs * _U(_BASE) + words[k : len(words) - gram + 1 + k])
+    # the least of n runs: high bits of the hash, then the place, so that of equals the leftmost is least
+    place_bits = _U(max(1, len(runs).bit_length()))
+    least, span, n = (runs >> place_bits << place_bits) | np.arange(len(runs), dtype=np.uint64), 1, width - gram + 1
+    while 2 * span <= n:
+        least, span = np.minimum(least[:-span], least[span:]), 2 * span
+    if n > span:
+        least = np.minimum(least[: len(least) - (n - span)], least[n - span :])
+    return (least & ((_U(1) << place_bits) - _U(1))).astype(np.int64), runs
 
 
 class Block:
@@ -108,90 +97,89 @@ class Block:
 
     def __init__(self, ids: list, texts: list, width: int):
         order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0))
-        self.ids = [ids[k] for k in order]
-        self.texts = [texts[k].encode() if isinstance(texts[k], str) else (texts[k] or b"") for k in order]
-        joined = b"\n".join(self.texts) + b"\n"
-        data = np.frombuffer(joined, np.uint8)
-        size = np.fromiter(map(len, self.texts), np.int64, len(self.texts)) + 1
-        starts, ends = word_spans(data)
-        self.doc = np.searchsorted(np.cumsum(size), starts, "right")
-        self.n_words = np.bincount(self.doc, minlength=len(self.ids))
+        self.width, self.ids = width, [ids[k] for k in order]
+        self.texts = [texts[k] for k in order]  # words joined by single spaces
+        self.joined = b" ".join(t for t in self.texts if t) + b" "
+        data = np.frombuffer(self.joined, np.uint8)
+        self.ends = np.flatnonzero(data == 32) if len(data) > 1 else np.empty(0, np.int64)
+        self.starts = np.append(0, self.ends[:-1] + 1) if len(self.ends) else self.ends
+        self.n_words = np.array([t.count(b" ") + 1 if t else 0 for t in self.texts], np.int64)
         self.first = np.cumsum(self.n_words) - self.n_words
-        n = max(0, len(starts) - width + 1)
+        self.doc = np.repeat(np.arange(len(self.ids)), self.n_words)
+        n = max(0, len(self.starts) - width + 1)
         self.at = np.flatnonzero(self.doc[:n] == self.doc[width - 1 :][:n]) if n else np.empty(0, np.int64)
-        self.hash = [
-            window_hashes(word_hashes(data, starts, ends, lane), width, lane)[self.at] if len(self.at) else np.empty(0, np.uint64)
-            for lane in (0, 1)
-        ]
-
-    def cells(self, row: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct cells of a sketch row, windows' places among them, their counts."""
-        spread = _mix(self.hash[0] + _U(row) * self.hash[1], row % 2) >> _U(64 - bits)
-        return np.unique(spread, return_inverse=True, return_counts=True)
+        if len(self.at):
+            place, runs = anchors(word_hashes(data, self.starts, self.ends), width)
+            place = place[self.at]
+            # anchors follow one another, so equal places stand together
+            new = np.append(True, place[1:] != place[:-1])
+            self.anchor, self.anchor_of = runs[place[new]], np.cumsum(new) - 1
+        else:
+            self.anchor, self.anchor_of = np.empty(0, np.uint64), self.at
+
+    def cells(self, row: int, bits: int) -> np.ndarray:
+        """Cell of each anchor in a row of the sketch; rows follow one another."""
+        return ((_mix(self.anchor + _U(row) * _U(_BASE)) >> _U(64 - bits)) | (_U(row) << _U(bits))).astype(np.int64)
+
+    def suspects(self, full: np.ndarray, depth: int, bits: int) -> np.ndarray:
+        """Places among the windows of those whose anchor's cells are all in `full`."""
+        maybe = np.ones(len(self.anchor), bool)
+        for row in range(depth):
+            maybe &= np.isin(self.cells(row, bits), full)
+        return np.flatnonzero(maybe[self.anchor_of]) if len(self.at) else self.at
+
+    def digests(self, some: np.ndarray, key: bytes) -> np.ndarray:
+        """(n, 2) keyed digests of windows' words."""
+        begin, end = self.starts[self.at[some]].tolist(), self.ends[self.at[some] + self.width - 1].tolist()
+        joined, blank = self.joined, blake2b(key=key, digest_size=16)
+        out = []
+        for a, b in zip(begin, end, strict=True):
+            h = blank.copy()
+            h.update(joined[a:b])
+            out.append(h.digest())
+        return np.frombuffer(b"".join(out), np.int64).reshape(-1, 2)
+
+    def groups(self, some: np.ndarray, key: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows `some`: digests, and first places of each distinct one (in order) with every window's group."""
+        made = self.digests(some, key)
+        order = np.lexsort((some, made[:, 1], made[:, 0]))
+        new = np.append(True, (made[order][1:] != made[order][:-1]).any(axis=1))[: len(order)]
+        heads = order[new]
+        rank = np.empty(len(heads), np.int64)
+        rank[np.argsort(heads)] = np.arange(len(heads))
+        group = np.empty(len(some), np.int64)
+        group[order] = rank[np.cumsum(new) - 1]
+        return made, np.sort(heads), group
 
-    def key(self) -> tuple[np.ndarray, np.ndarray]:
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
         """Of each window the doc_id (null as the least value) and the number of its first word."""
         least = np.iinfo(np.int64).min
         ids = np.array([least if x is None else x for x in self.ids], np.int64)
         doc = self.doc[self.at]
         return ids[doc], self.at - self.first[doc]
 
-    def distinct(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First places among the windows `some` of each distinct one, in order; the group of each of some."""
-        if not len(some):
-            return some, some
-        a, b = self.hash[0][some], self.hash[1][some]
-        order = np.lexsort((some, b, a))
-        new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
-        heads = order[new]
-        number = np.empty(len(heads), np.int64)
-        number[np.argsort(heads)] = np.arange(len(heads))
-        group = np.empty(len(some), np.int64)
-        group[order] = number[np.cumsum(new) - 1]
-        return some[np.sort(heads)], group
-
-
-def _pack(x: np.ndarray, delta: bool = True) -> bytes:
-    """Integers as zstd of their byte planes, by default of differences."""
-    import zstandard
-
-    x = x.astype(np.int64) if x.dtype != np.uint64 else x.view(np.int64)
-    if delta and len(x):
-        x = np.diff(x, prepend=np.int64(0))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def _unpack(data: bytes, delta: bool = True) -> np.ndarray:
-    import zstandard
-
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    x = np.ascontiguousarray(planes.T).reshape(-1).view(np.int64)
-    return np.cumsum(x) if delta else x
-
-
-def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-
 
 def _blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
+    """(block, ids, texts, n_words): words of a text joined by single spaces."""
+    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.binary())), ("n_words", pa.int64())])
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.binary())), ("n_words", pa.int64())])
         number = TaskContext.get().partitionId() << 32
-        ids, texts, size = [], [], 0
+        ids, texts, size, n_words = [], [], 0, 0
 
         def row() -> pa.RecordBatch:
-            n_words = sum(len(t.split()) for t in texts)
-            return _rows([(number, ids, texts, n_words)], schema)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((number, ids, texts, n_words), schema.types, strict=True)], schema=schema)
 
         for batch in batches:
-            for i, text in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
-                text = text.as_py() or b""
-                if ids and size + len(text) > block_bytes:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                words = (text.as_py() or b"").split()  # of bytes: at ASCII white space
+                if ids and size + len(text.as_py() or b"") > block_bytes:
                     yield row()
-                    number, ids, texts, size = number + 1, [], [], 0
-                ids.append(i.as_py())
-                texts.append(text)
-                size += len(text)
+                    number, ids, texts, size, n_words = number + 1, [], [], 0, 0
+                ids.append(i)
+                texts.append(b" ".join(words))
+                size += len(texts[-1])
+                n_words += len(words)
         if ids:
             yield row()
 
@@ -200,148 +188,96 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Data
 
 
 def _each_block(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[dict, Block]]:
+    """Rows one at a time, lists of numbers as arrays."""
     for batch in batches:
         for k in range(batch.num_rows):
-            row = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
+            row = {}
+            for name in batch.schema.names:
+                x = batch.column(name)[k]
+                numbers = pa.types.is_list(x.type) and name in ("full", "later")
+                row[name] = (np.asarray(x.values) if x.is_valid else np.empty(0, np.int64)) if numbers else x.as_py()
             yield row, Block(row.pop("ids"), row.pop("texts"), width)
 
 
-def _sketches(blocks: DataFrame, width: int, depth: int, bits: int, shards: int) -> DataFrame:
-    schema = pa.schema([("row", pa.int32()), ("shard", pa.int32()), ("block", pa.int64()), ("cells", pa.binary()), ("twice", pa.binary())])
+def _sketches(blocks: DataFrame, width: int, depth: int, bits: int) -> DataFrame:
+    """(cell, block, n): the cells of each block's sketch that are not zero; n is 2 for more."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, b in _each_block(batches, width):
-            out = []
             for r in range(depth):
-                cells, _, counts = b.cells(r, bits)
-                shard = _shard(cells, bits, shards)
-                cut = np.searchsorted(shard, np.arange(shards + 1))
-                for s in np.flatnonzero(np.diff(cut)).tolist():
-                    part = slice(cut[s], cut[s + 1])
-                    out.append((r, s, row["block"], _pack(cells[part]), np.packbits(counts[part] > 1).tobytes()))
-            if out:
-                yield _rows(out, schema)
-
-    return blocks.select("block", "ids", "texts").mapInArrow(sketch, "row int, shard int, block long, cells binary, twice binary")
+                cells, n = np.unique(b.cells(r, bits), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cells), pa.array(np.full(len(cells), row["block"])), pa.array(np.minimum(n, 2).astype(np.int8))], ["cell", "block", "n"]
+                )
 
+    return blocks.select("block", "ids", "texts").mapInArrow(sketch, "cell long, block long, n byte")
 
-def _shard(cells: np.ndarray, bits: int, shards: int) -> np.ndarray:
-    """Shard of a cell; consecutive cells stay together."""
-    high = cells >> _U(max(0, bits - 30)) if bits > 30 else cells << _U(30 - bits)
-    return ((high * _U(shards)) >> _U(30)).astype(np.int64)
 
+def _suspects(answered: DataFrame, width: int, depth: int, bits: int, key: bytes) -> DataFrame:
+    """(k1, k2, block, doc, word, place): each distinct window of a block that may be repeated, at its first place."""
 
-def _merge_sketches(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Adds the counts of all blocks in a shard; per block the cells that are counted twice or more."""
-    cells = [_unpack(c) for c in pdf.cells]
-    size = [len(c) for c in cells]
-    twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=n) for t, n in zip(pdf.twice, size, strict=True)])
-    _, place = np.unique(np.concatenate(cells), return_inverse=True)
-    repeated = np.bincount(place, 1 + twice)[place] >= 2
-    bits = [np.packbits(x).tobytes() for x in np.split(repeated, np.cumsum(size)[:-1])]
-    return pd.DataFrame({"block": pdf.block, "row": pdf.row, "shard": pdf.shard, "bits": bits, "n": size})
+    def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, b in _each_block(batches, width):
+            some = b.suspects(row["full"], depth, bits)
+            if not len(some):
+                continue
+            made, heads, _ = b.groups(some, key)
+            doc, word = b.places()
+            w = some[heads]
+            columns = (made[heads, 0], made[heads, 1], np.full(len(w), row["block"]), doc[w], word[w].astype(np.int32), w.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["k1", "k2", "block", "doc", "word", "place"])
 
+    return answered.select("block", "ids", "texts", "full").mapInArrow(suspect, "k1 long, k2 long, block long, doc long, word int, place int")
 
-def _suspects(answered: DataFrame, width: int, depth: int, bits: int, shards: int) -> DataFrame:
-    """Distinct windows of each block that may be repeated, packed by shard of their hash."""
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("a", "b", "doc", "word", "place"))])
 
-    def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, b in _each_block(batches, width):
-            maybe = np.ones(len(b.at), bool)
-            for r in range(depth):
-                _, inverse, _ = b.cells(r, bits)
-                told = sorted((x for x in row["answers"] or () if x["row"] == r), key=lambda x: x["shard"])
-                if told:
-                    flags = [np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=x["n"]) for x in told]
-                    maybe &= np.concatenate(flags)[inverse].astype(bool)
-            heads, _ = b.distinct(np.flatnonzero(maybe))
-            doc, word = b.key()
-            shard = _shard(b.hash[0][heads], 64, shards)
-            order = np.argsort(shard, kind="stable")
-            cut = np.searchsorted(shard[order], np.arange(shards + 1))
-            out = []
-            for s in np.flatnonzero(np.diff(cut)).tolist():
-                w = heads[order[cut[s] : cut[s + 1]]]
-                out.append((s, row["block"], b.hash[0][w].tobytes(), b.hash[1][w].tobytes(), _pack(doc[w]), _pack(word[w]), _pack(w)))
-            if out:
-                yield _rows(out, schema)
-
-    return answered.select("block", "ids", "texts", "answers").mapInArrow(
-        suspect, "shard int, block long, a binary, b binary, doc binary, word binary, place binary"
-    )
-
-
-def _later(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per block the places of those windows in a shard that start earlier in another block."""
-    a, b = (np.frombuffer(b"".join(pdf[c]), np.uint64) for c in ("a", "b"))
-    doc, word, place = (np.concatenate([_unpack(x) for x in pdf[c]]) for c in ("doc", "word", "place"))
-    owner = np.repeat(np.arange(len(pdf)), [len(x) // 8 for x in pdf.a])
-    order = np.lexsort((word, doc, b, a))
-    new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
-    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    later = order[(doc[order] != doc[head]) | (word[order] != word[head])]
-    later = later[np.argsort(owner[later], kind="stable")]
-    cut = np.searchsorted(owner[later], np.arange(len(pdf) + 1))
-    places = [_pack(np.sort(place[later[cut[k] : cut[k + 1]]])) for k in range(len(pdf))]
-    return pd.DataFrame({"block": pdf.block, "places": places, "n": np.diff(cut)}).query("n > 0")[["block", "places"]]
-
-
-def _remove(answered: DataFrame, width: int, id_type: str) -> DataFrame:
+def _remove(answered: DataFrame, width: int, depth: int, bits: int, key: bytes, id_type: str) -> DataFrame:
     schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, b in _each_block(batches, width):
-            heads, group = b.distinct(np.arange(len(b.at)))
-            doc, word = b.key()
-            # later than the first place of the block, or that place is later than another block's
-            gone = (doc != doc[heads][group]) | (word != word[heads][group])
-            if row["later"]:
-                elsewhere = np.zeros(len(b.at), bool)
-                for places in row["later"]:
-                    elsewhere[_unpack(places)] = True
-                gone |= elsewhere[heads][group]
-            edge = np.zeros(len(b.doc) + 1, np.int64)
-            edge[b.at[gone]] += 1
-            np.subtract.at(edge, b.at[gone] + width, 1)
-            covered = np.cumsum(edge[:-1]) > 0
+            covered = np.zeros(len(b.doc), bool)
+            some = b.suspects(row["full"], depth, bits)
+            if len(some):
+                _, heads, group = b.groups(some, key)
+                doc, word = b.places()
+                head = some[heads][group]
+                # later than the first place of the block, or that place is later than another block's
+                gone = (doc[some] != doc[head]) | (word[some] != word[head]) | np.isin(head, row["later"])
+                edge = np.zeros(len(b.doc) + 1, np.int64)
+                np.add.at(edge, b.at[some[gone]], 1)
+                np.subtract.at(edge, b.at[some[gone]] + width, 1)
+                covered = np.cumsum(edge[:-1]) > 0
             n_removed = np.bincount(b.doc[covered], minlength=len(b.ids))
             kept = []
             for k, text in enumerate(b.texts):
-                words = text.split()
                 if n_removed[k]:
-                    stay = ~covered[b.first[k] : b.first[k] + b.n_words[k]]
-                    words = [words[i] for i in np.flatnonzero(stay).tolist()]
-                kept.append(b" ".join(words))
-            yield _rows(list(zip(b.ids, b.n_words.tolist(), n_removed.tolist(), kept, strict=True)), schema)
+                    words, stay = text.split(b" "), ~covered[b.first[k] : b.first[k] + b.n_words[k]]
+                    text = b" ".join([words[i] for i in np.flatnonzero(stay).tolist()])
+                kept.append(text)
+            columns = (b.ids, b.n_words.tolist(), n_removed.tolist(), kept)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-    out = answered.select("block", "ids", "texts", "later").mapInArrow(remove, "id long, n_words long, n_removed long, kept binary")
+    out = answered.select("block", "ids", "texts", "full", "later").mapInArrow(remove, "id long, n_words long, n_removed long, kept binary")
     return out.withColumn("id", F.col("id").cast(id_type)).withColumn("kept", F.col("kept").cast("string"))
 
 
-def _bucketed(df: DataFrame, scratch: Scratch, n_bytes_col: int, name: str) -> DataFrame:
-    spark, table = df.sparkSession, f"blocks_{uuid.uuid4().hex}"
-    df.write.bucketBy(n_bytes_col, "block").option("path", f"{scratch.root}/{name}").option("compression", "zstd").saveAsTable(table)
-    return spark.table(table)
-
-
 def remove_repeated_windows(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """(id_col, n_words, n_removed, kept string) for every row."""
-    spark, scratch = df.sparkSession, Scratch(df.sparkSession, "substring")
+    scratch, key = Scratch(df.sparkSession, "substring"), secrets.token_bytes(16)
     buckets = max(1, min(50_000, df.select(text_col).rdd.getNumPartitions()))
-    blocks = _bucketed(_blocks(df, id_col, text_col, block_bytes), scratch, buckets, "blocks")
+    blocks = scratch.write_bucketed(_blocks(df, id_col, text_col, block_bytes), "blocks", buckets, "block")
     n = blocks.agg(F.sum("n_words")).first()[0] or 0
-    bits = min(62, max(16, int(n * CELLS_PER_WINDOW).bit_length()))
-    sketch_shards, exact_shards = -(-n // SKETCH_SHARD) or 1, -(-n // EXACT_SHARD) or 1
-    merged = (
-        _sketches(blocks, window, depth, bits, sketch_shards)
-        .groupBy("row", "shard")
-        .applyInPandas(_merge_sketches, "block long, row int, shard int, bits binary, n long")
-    )
-    answers = scratch.write(merged.groupBy("block").agg(F.collect_list(F.struct("row", "shard", "bits", "n")).alias("answers")), "answers")
-    found = _suspects(blocks.join(answers, "block", "left"), window, depth, bits, exact_shards)
-    places = found.groupBy("shard").applyInPandas(_later, "block long, places binary")
-    later = scratch.write(places.groupBy("block").agg(F.collect_list("places").alias("later")), "later")
-    return _remove(blocks.join(later, "block", "left"), window, dict(df.dtypes)[id_col]).withColumnRenamed("id", id_col)
+    bits = min(61, max(16, int(n * CELLS).bit_length()))
+
+    counted = F.sum("n").over(Window.partitionBy("cell"))
+    cells = _sketches(blocks, window, depth, bits).withColumn("n", counted).where("n > 1")
+    full = scratch.write(cells.groupBy("block").agg(F.collect_list("cell").alias("full")), "cells")
+    answered = blocks.join(full, "block", "left")
+
+    place = F.struct("doc", "word")
+    first = F.min(place).over(Window.partitionBy("k1", "k2"))
+    found = _suspects(answered, window, depth, bits, key).withColumn("first", first).where(F.col("first") != place)
+    later = scratch.write(found.groupBy("block").agg(F.collect_list("place").alias("later")), "later")
+    return _remove(answered.join(later, "block", "left"), window, depth, bits, key, dict(df.dtypes)[id_col]).withColumnRenamed("id", id_col)

@@ -360,6 +360,31 @@ def test_op7_small_blocks(spark):
     assert Counter((r.doc_id, r.n_words, r.n_removed, sha(r.kept)) for r in found) == kept_words(rows, 6)
 
 
+def test_op7_compares_words_not_hashes(spark):
+    """Complementary Thue-Morse words collide under every polynomial hash modulo 2 ** 64."""
+    word = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    rest = prose(19, 50)
+    rows = [(1, f"{word} {rest}"), (2, f"{word.translate(str.maketrans('ab', 'ba'))} {rest}")]
+    found = substring_dedup.remove_repeated_windows(frame(spark, rows)).collect()
+    assert [r.n_removed for r in found] == [0, 0] and {r.kept for r in found} == {t for _, t in rows}
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 20])
+def test_op7_periodic_and_overlapping_texts(spark, window):
+    r = random.Random(window)
+    rows = [(k, " ".join(r.choice("ab") for _ in range(60))) for k in range(6)] + [(6, "a " * 70), (7, "a b " * 40), (None, "a b\tc  " * 30), (8, "b")]
+    found = substring_dedup.remove_repeated_windows(frame(spark, rows).repartition(3), window=window, block_bytes=150).collect()
+    assert Counter((x.doc_id, x.n_words, x.n_removed, sha(x.kept)) for x in found) == kept_words(rows, window)
+
+
+def test_queries_leave_only_their_result(spark, tables):
+    before = {t.name for t in spark.catalog.listTables()}
+    root = queries.op7_substring_dedup(spark, tables[0]["full"])
+    made = queries.queries()["op7_substring_dedup"](spark, tables[0]["full"])
+    assert made.count() == root.count() and len(made.inputFiles()) and all("/result/" in f for f in made.inputFiles())
+    assert len({t.name for t in spark.catalog.listTables()} - before) == 1  # that of the call without an owner
+
+
 # 8
 
 
