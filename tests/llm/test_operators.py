@@ -232,7 +232,7 @@ def test_op4_small_buckets_and_few_candidates(spark, monkeypatch):
     r = np.random.default_rng(4)
     rows = [(k, (r.normal(size=6) * r.uniform(0.1, 3)).tolist()) for k in range(300)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    for name, n in (("CHUNK", 16), ("QUERY_BLOCK", 4), ("LEADERS", 10)):
+    for name, n in (("CHUNK", 16), ("QUERY_BLOCK", 4), ("LEADERS", 10), ("HELD_BLOCKS", 2), ("GROUPS", 3)):
         monkeypatch.setattr(topk, name, n)
     got = {(x.query_id, x.rank, x.vec_id, x.score) for x in topk.top_products(df, df.vec_id % 10 == 0, k=4).collect()}
     v = {k: np.floor(256 * np.array(x)).astype(int) for k, x in rows}
@@ -242,6 +242,21 @@ def test_op4_small_buckets_and_few_candidates(spark, monkeypatch):
     assert sorted((x.query_id, x.rank) for x in few) == [(q, n) for q in range(3) for n in (1, 2)]
 
 
+def test_op4_large_components_mixed_widths_and_column_names(spark):
+    r = np.random.default_rng(6)
+    rows = [(k, [float(np.float32(x)) for x in r.normal(size=(4, 4, 7, 1)[k % 4]) * 10 ** r.uniform(-2, (7, 7, 3, 12)[k % 4])], 1, 2.0, "a") for k in range(240)]
+    rows += [(k, [1e7, -1e7, 1e7, 3e30], 1, 2.0, "a") for k in (240, 241, 242)] + [(243, [], 0, 0.0, "b"), (250, [], 0, 0.0, "b"), (260, [1e7] * 4, 1, 1.0, "c")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, x int, v double, width string")
+    got = {(x.query_id, x.rank, x.vec_id, x.score) for x in topk.top_products(df, df.vec_id % 10 == 0).collect()}
+    v = {i: [int(np.floor(256 * float(np.float32(x)))) for x in e] for i, e, *_ in rows}
+    want = set()
+    for q in (i for i in v if i % 10 == 0):
+        score = lambda i: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v[q], v[i], strict=True))))  # noqa: B023, E731
+        best = sorted((-score(i), i) for i in v if i != q and len(v[i]) == len(v[q]))
+        want |= {(q, n, i, -s) for n, (s, i) in enumerate(best[:5], 1)}
+    assert got == want and {2**63 - 1, 0} <= {g[3] for g in got}
+
+
 # 5
 
 
