@@ -12,16 +12,21 @@ are, of REMOVE or more they go. Documents without an entity are left alone.
 
 No term in more than (n(e) + p(e)) p(e)^(GENERALISE - 1) - 1 documents can tell of e, so a document's
 terms are cut to those that can tell of one of its entities before pairs are made; nothing is lost.
+Entities that stand in the very same documents have the same counts with every term, so they are one
+class (known by its size and 128 bits of its documents' hashes), and a list of addresses in one
+document, or in its copies, makes one pair a term. A term counts where it touches no base span.
 
 All of it is DataFrame functions. Offsets count code points, ends are exclusive. Patterns are
 written so that no text makes them backtrack: a run of characters is tried from its start only,
 or from the end of the match before (\\G), and repeats are possessive where nothing after them
-could use what they took.
-
-Defined results: null text counts as empty; very long texts are searched whole; repeated rows get
-equal results (their words and entities count as often as they stand there); null ids are kept;
-an empty table gives an empty table; other columns are not read by spans() and are kept by
-sanitise().
+could use what they took. Offsets are running sums in runs of CHUNK items, and texts are cut once, from
+an array of their characters: the work grows with a text's length and number of spans, not with their product.
+
+Defined results: null or empty text has no span; very long texts are searched whole; rows with equal
+id and text have equal results (their words and entities count as often as they stand there), and null
+ids are kept; of overlapping spans, the one that starts first (of equals, the first kind) is replaced
+whole and the rest of the others is removed with it; the letter U+2E2F is in no term; an empty
+table gives an empty table; other columns are not read by spans() and are kept by sanitise().
 """
 
 from __future__ import annotations
@@ -43,7 +48,10 @@ PATTERNS = {
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 LABELS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
-TERM = r"[\p{L}\p{N}]{3,}+"
+#: Stands in place of base spans when terms are looked for: a letter, so that what touches it is no whole run.
+FILLER = "\u2e2f"
+TERM = rf"(?<![\p{{L}}\p{{N}}])[\p{{L}}\p{{N}}&&[^{FILLER}]]{{3,}}+(?!{FILLER})"
+CHUNK = 256
 GENERALISE, REMOVE = 0.8, 0.95
 
 
@@ -73,19 +81,54 @@ def _valid(kind: str, value: F.Column) -> F.Column:
     return F.lit(True)
 
 
+def _let(value: F.Column, body) -> F.Column:
+    """body(value), with value evaluated once however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _running(sizes: F.Column, zero: int, add) -> F.Column:
+    """What add() makes of zero and the items before each item of an array<int> (a column or lambda variable)."""
+
+    def fold(items, start):
+        state = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, x: F.struct(add(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(items, state, step, lambda acc: acc["out"])
+
+    def joined(chunks):
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(zero), add))
+        return F.flatten(F.zip_with(chunks, fold(totals, F.lit(zero)), fold))
+
+    last = F.greatest(F.lit(0), F.floor((F.size(sizes) - 1) / CHUNK)).cast("int")
+    return _let(F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(sizes, k * CHUNK + 1, CHUNK)), joined)
+
+
 def _matches(text: F.Column, pattern: str) -> F.Column:
     """array<struct<start,value>> of a pattern's matches: what stands between them gives the offsets."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.lit(0)
-    state = F.struct(start.alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
 
-    def step(acc, x):
-        begin = acc["at"] + F.length(x["gap"])
-        item = F.struct(begin.alias("start"), x["value"].alias("value"))
-        return F.struct((begin + F.length(x["value"])).alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
+    def placed(pairs):
+        sizes = F.transform(pairs, lambda p: p["gap"] + F.length(p["value"]))
+        starts = _let(sizes, lambda x: _running(x, 0, lambda a, b: a + b))
+        return F.zip_with(pairs, starts, lambda p, at: F.struct((at + p["gap"]).alias("start"), p["value"].alias("value")))
+
+    # the last piece stands after the last match
+    pairs = F.zip_with(found, between, lambda v, g: F.struct(v.alias("value"), F.length(g).alias("gap")))
+    return _let(F.filter(pairs, lambda p: p["value"].isNotNull()), placed)
+
+
+def _replaced(text: F.Column, marks: F.Column) -> F.Column:
+    """text with what marks (array<struct<start,end,put>>, by start) say: a mark that starts within what came before
+    removes only what it has more. Null for null marks."""
+    cut = lambda chars, a, b: F.array_join(F.slice(chars, a + 1, F.greatest(F.lit(0), b - a)), "")
 
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-    return F.aggregate(pairs, state, step, lambda acc: acc["out"])
+    def put(both):
+        chars, ends = both["chars"], F.transform(both["marks"], lambda m: m["end"])
+        done = _let(ends, lambda e: _running(e, 0, lambda a, x: F.greatest(a, x)))
+        piece = lambda m, at: F.concat(cut(chars, at, m["start"]), F.when(m["start"] >= at, m["put"]).otherwise(""))
+        tail = cut(chars, F.coalesce(F.array_max(ends), F.lit(0)), F.size(chars))
+        return F.concat(F.array_join(F.zip_with(both["marks"], done, piece), ""), tail)
+
+    return F.when(marks.isNotNull(), _let(F.struct(F.split(text, "").alias("chars"), marks.alias("marks")), put))
 
 
 NONE = "array<struct<start:int,rank:int,end:int,value:string>>"
@@ -112,75 +155,85 @@ def _terms(text: F.Column) -> F.Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def _places(text: F.Column, shares: F.Column) -> F.Column:
-    """array<struct<start,end,value,share>> of the terms of a text that shares (a map) has."""
-    found, between = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1)
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda v, g: F.struct(v.alias("value"), F.length(g).alias("gap"), shares[F.lower(v)].alias("share")))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("out"))
+def _masked(text: F.Column, base: F.Column) -> F.Column:
+    """text with FILLER in place of base spans, as long as it was. base: a column."""
 
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["value"])
-        item = F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"), x["share"].alias("share"))
-        return F.struct(end.alias("at"), F.when(x["share"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(item))).alias("out"))
+    def marks(done):
+        own = F.zip_with(base, done, lambda s, at: F.struct(F.greatest(s["start"], at).alias("start"), s["end"].alias("end")))
+        own = F.filter(own, lambda m: m["end"] > m["start"])
+        return F.transform(own, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.repeat(F.lit(FILLER), m["end"] - m["start"]).alias("put")))
 
-    return F.aggregate(pairs, state, step, lambda acc: acc["out"])
+    done = _let(F.transform(base, lambda s: s["end"]), lambda e: _running(e, 0, lambda a, x: F.greatest(a, x)))
+    return _replaced(text, _let(done, marks))
+
+
+def _places(text: F.Column, shares: F.Column) -> F.Column:
+    """array<struct<start,end,value,share>> of the terms of a text that shares (a map) has."""
+    every = F.transform(
+        _matches(text, TERM),
+        lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end"), m["value"].alias("value"), F.try_element_at(shares, F.lower(m["value"])).alias("share")),
+    )
+    return F.filter(every, lambda m: m["share"].isNotNull())
 
 
 def row_key(id_col: str, text_col: str) -> F.Column:
-    """Tells rows apart when ids repeat: rows with equal id and text have equal results."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    """SHA-256 of id and text, which tells rows apart when ids repeat: rows with equal id and text have equal results."""
+    return F.unhex(F.sha2(F.to_json(F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), 256))
 
 
 def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, row_key, base, added) of every row.
+    """(id_col, row_key, base, added) of every row; row_key is null where there is no base span.
 
     base: array<struct<start,rank,end,value>>; added: array<struct<start,end,value,share>> of terms
     with their disclosure, none of which overlaps a base span."""
     scratch = Scratch(df.sparkSession, "pii")
-    rows = df.select(F.col(id_col), row_key(id_col, text_col).alias("row_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = rows.withColumn("base", base_spans(F.col("text"))).withColumn("row", F.monotonically_increasing_id())
+    rows = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = rows.withColumns({"base": base_spans(F.col("text")), "row": F.monotonically_increasing_id()})
     entity = F.transform("base", lambda s: F.concat_ws(":", s["rank"], F.lower(s["value"])))
-    found = found.select("row", id_col, "row_key", "base", F.array_distinct(entity).alias("entities"), F.when(F.size("base") > 0, F.col("text")).alias("text"))
-    found = scratch.write(found, "base")
-    held, total = found.where(F.size("base") > 0), F.lit(float(max(found.count(), 2)))
+    some = F.size("base") > 0
+    found = found.select("row", id_col, "base", F.array_distinct(entity).alias("entities"), F.when(some, F.col("text")).alias("text"))
+    found = scratch.write(found.withColumns({"row_key": F.when(some, row_key(id_col, "text")), "masked": F.when(some, _masked(F.col("text"), F.col("base")))}), "base")
+    held, total = found.where(some), F.lit(float(max(found.count(), 2)))
 
     forms = rows.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     forms = scratch.write(forms, "forms")
     mine = held.select("row", F.explode("entities").alias("entity"))
     chance = F.least(F.lit(1.0), F.col("n_entity") / total)
-    entities = mine.groupBy("entity").agg(F.count("*").alias("n_entity")).withColumn("chance", chance)
-    entities = entities.withColumn("most", (F.col("n_entity") + F.col("chance")) * F.pow("chance", F.lit(GENERALISE - 1)) - 1 + 1e-6)
-    entities = scratch.write(entities, "entities")
-    highest = entities.agg(F.coalesce(F.max("most"), F.lit(0.0))).first()[0]
-    each = F.collect_list(F.struct("entity", "n_entity", "chance", "most"))
-    per_row = mine.join(entities, "entity").groupBy("row").agg(each.alias("each"), F.max("most").alias("most"))
-
-    terms = held.select("row", F.explode(_terms(F.col("text"))).alias("term")).join(forms.where(F.col("n_term") <= highest), "term")
+    # a class: entities of the same documents
+    where = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    entities = scratch.write(mine.groupBy("entity").agg(F.count("*").alias("n_entity"), *where), "entities")
+    classes = mine.join(entities, "entity").select("row", "n_entity", "h1", "h2").distinct().withColumn("chance", chance)
+    most = (F.col("n_entity") + F.col("chance")) * F.pow("chance", F.lit(GENERALISE - 1)) - 1 + 1e-6
+    classes = scratch.write(classes.withColumn("most", most), "classes")
+    highest = classes.agg(F.coalesce(F.max("most"), F.lit(0.0))).first()[0]
+    each = F.collect_list(F.struct("n_entity", "h1", "h2", "chance", "most"))
+    per_row = classes.groupBy("row").agg(each.alias("each"), F.max("most").alias("most"))
+
+    terms = held.select("row", F.explode(_terms(F.col("masked"))).alias("term")).join(forms.where(F.col("n_term") <= highest), "term")
     both = terms.join(per_row, "row").where("n_term <= most")
     both = both.select("row", "term", "n_term", F.inline(F.filter("each", lambda e: e["most"] >= F.col("n_term")))).drop("most")
     both = scratch.write(both, "both")
     ic = -F.log2("chance")
     share = 1 + F.log2((F.col("n_both") + F.col("chance")) / (F.col("n_term") + 1)) / ic
+    of = ["n_entity", "h1", "h2", "term"]
     telling = (
-        both.groupBy("entity", "term", "n_term", "chance")
+        both.groupBy(*of, "n_term", "chance")
         .agg(F.count("*").alias("n_both"))
         .withColumn("share", F.when(ic > 0, share).otherwise(0.0))
         .where(F.col("share") >= GENERALISE)
-        .select("entity", "term", "share")
+        .select(*of, "share")
     )
     telling = scratch.write(telling, "telling")
     shares = (
-        both.join(telling, ["entity", "term"])
+        both.join(telling, of)
         .groupBy("row", "term")
         .agg(F.max("share").alias("share"))
         .groupBy("row")
         .agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
     )
-    near = F.when(F.col("shares").isNotNull(), _places(F.col("text"), F.col("shares")))
-    free = F.filter("near", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    found = found.join(shares, "row", "left").withColumn("near", near)
-    return found.select(id_col, "row_key", "base", F.coalesce(free, F.array().cast(PLACES)).alias("added"))
+    added = F.when(F.col("shares").isNotNull(), _places(F.col("masked"), F.col("shares")))
+    found = found.join(shares, "row", "left").withColumn("added", added)
+    return found.select(id_col, "row_key", "base", F.coalesce("added", F.array().cast(PLACES)).alias("added"))
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -211,19 +264,12 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
         "added", lambda t: F.struct(t["start"], t["end"], F.when(t["share"] >= REMOVE, "").otherwise(general(t)).alias("put"))
     )
     key, marked, new = (unused(df, c) for c in ("__key", "__marks", "__new"))
-    marks = marks.groupBy(F.col("row_key").alias(key)).agg(F.first(F.array_sort(F.concat(base, terms))).alias(marked))
-    keyed = df.withColumn(key, row_key(id_col, text_col)).join(marks, key, "left")
+    marks = marks.groupBy(F.col("row_key").alias(key)).agg(F.any_value(F.array_sort(F.concat(base, terms))).alias(marked))
+    # texts without a hint of a base span have no mark
     text = F.col(text_col)
-
-    def step(acc, m):
-        gap = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), m["start"] - acc["at"]))
-        put = F.concat(acc["out"], gap, F.when(m["end"] > acc["at"], m["put"]).otherwise(""))
-        return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), put.alias("out"))
-
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(
-        marked, state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    )
+    hinted = F.coalesce(text.rlike("|".join(HINTS.values())), F.lit(False))
+    keyed = df.withColumn(key, F.when(hinted, row_key(id_col, text_col))).join(marks, key, "left")
+    clean = _replaced(text, F.col(marked))
     # a column of its own: in one select, the length would see the new text's alias and clean it once more
     keyed = keyed.withColumn(new, F.when(F.col(marked).isNotNull(), clean))
     put = {text_col: F.coalesce(new, text_col).alias(text_col)}
