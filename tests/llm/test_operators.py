@@ -143,14 +143,22 @@ def test_op2_brute_force(spark, tables):
     at, full = tables
     docs, items = {}, {}
     for i, t in TEXTS:
-        docs.setdefault(i, set()).update(shingles(t))
+        docs.setdefault(i, set()).update(*(shingles(t, n) for n in range(1, 6)))
     for i, t, _ in full["benchmark"]:
-        items.setdefault(i, set()).update(shingles(t))
+        items.setdefault(i, set()).update(shingles(t, min(5, max(1, len((t or "").split())))))
     want = {(d, i, len(s & x), len(x)) for d, s in docs.items() for i, x in items.items() if d is not None and i is not None and x and len(s & x) >= 0.8 * len(x) - 1e-9}
     got = {(r.doc_id, r.item_id, r.n_shared, r.n_shingles) for r in queries.op2_decontaminate(spark, at["full"]).collect()}
     assert got == want and {d for d, *_ in want} >= {9, 16} and 17 not in {d for d, *_ in want}
 
 
+def test_op2_short_and_mixed_items(spark):
+    docs = [(1, "So: what is the  CAPITAL? of this"), (2, "what is the"), (3, "what is capital?"), (4, "x"), (5, None), (6, " ".join(f"w{k}" for k in range(50)))]
+    items = [(1, "What is the capital?"), (2, "x"), (3, ""), (4, None), (5, "what is"), (6, "w1 w2 w3 w4 w5 w6 w7"), (7, "w9 w10"), (7, "w1 w2 w3 w4 w5 w6 w7 w8 w9"), (None, "x")]
+    found = decontaminate.find_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = {(1, 1, 1, 1), (4, 2, 1, 1), (1, 5, 1, 1), (2, 5, 1, 1), (3, 5, 1, 1), (6, 6, 3, 3), (6, 7, 6, 6)}
+    assert {(r.doc_id, r.item_id, r.n_shared, r.n_shingles) for r in found.collect()} == want
+
+
 def test_drop_contaminated_keeps_clean_rows_and_columns(spark, tables):
     items = spark.read.parquet(f"{tables[0]['full']}/benchmark.parquet")
     docs = frame(spark, [*TEXTS, (None, f"x {ITEM} y"), (1, ITEM)])
