@@ -60,7 +60,9 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"))
+    rows = Scratch(spark, "urls").write(url_filter.parsed(table(spark, sf_dir, "pages")), "parsed")
+    # the list: hosts under names known to be bad
+    return url_filter.judge(rows, url_filter.listed_hosts(rows.select("host").distinct()))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

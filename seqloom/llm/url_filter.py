@@ -5,14 +5,20 @@ level 3 the listed keys that level 2 lets through, and so on, until a level lets
 through. As the levels are built over the complete set of the corpus's keys, the first level that
 turns a key down decides about it without error: an odd one says unlisted, an even one listed.
 
-Keys enter as two 64-bit hashes computed by Spark. Each level is built by a partial and a final
-bitwise OR of its words; the sets to encode shrink from level to level and stay tables. A cascade
-is small (about two bytes a listed key) and goes to tasks as a broadcast, of MAX_BITS at most; a
-list that would need more is held against the keys by a shuffled semi-join instead.
+Keys enter as two 64-bit hashes computed by Spark, and are dealt to shards by a third one: a shard of the
+cascade has SHARD_KEYS listed keys or so, whatever the length of the list, and is a few MB. All shards are
+built at once, level by level: Spark ORs the words of each shard's level, and the sets still to encode
+shrink from level to level and stay tables. Which keys are listed is one grouping of both tables, no join.
+The levels reach the keys in one of two ways, with the same filters: as a broadcast while all of them have
+BROADCAST_BYTES at most, and beyond that as rows that are sorted in front of their shard's keys, so that a
+task holds one shard's levels at a time. There, a shard's keys are dealt into SALTS parts, so a key that
+many rows have is not all in one task.
 
 Defined results: a null url or one without "://" has an empty host and path, fits no rule and is
 allowed, unless the empty host itself is listed; null keys are in no set; repeated keys count
-once; an empty list allows and an empty corpus gives an empty result; other columns are not read.
+once; urls and keys of any length are read whole; an empty list allows and an empty corpus gives an empty
+result; in_list() keeps all columns, and names its own out_col, lengthened by _ while that name is taken;
+judge() reads no other columns than page_id and url.
 """
 
 from __future__ import annotations
@@ -24,10 +30,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..plans.storage import Scratch
+from ..plans.storage import Scratch, unused
 
 #: Rules (verdict, host, path), fixed.
 RULES = (
@@ -39,8 +47,8 @@ RULES = (
 )
 #: Names whose hosts are listed, fixed.
 LISTED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
-#: Bits of all levels together, at most (8 MB).
-MAX_BITS, MAX_LEVELS = 1 << 26, 64
+#: Listed keys of a shard (about), bytes of levels that are broadcast, parts of a shard's rows beyond that.
+SHARD_KEYS, BROADCAST_BYTES, SALTS, MAX_LEVELS = 1 << 20, 8_000_000, 16, 64
 
 
 @dataclass
@@ -72,94 +80,137 @@ def shape(n_keys: int, error: float) -> tuple[int, int]:
     return bits, max(1, round(-math.log2(error)))
 
 
-class Cascade:
-    def __init__(self, levels: list[Level]):
-        self.levels = levels
+def _listed(levels: list[Level], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """What a shard's levels say about keys of its universe."""
+    out, open_ = np.zeros(len(h1), bool), np.ones(len(h1), bool)
+    for k, level in enumerate(levels):
+        at = np.flatnonzero(open_)
+        inside = level.has(k, h1[at], h2[at])
+        # turned down here: listed if the level holds unlisted keys
+        out[at[~inside]] = k % 2 == 1
+        open_[at[~inside]] = False
+    out[open_] = len(levels) % 2 == 1
+    return out
 
-    def listed(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        out, open_ = np.zeros(len(h1), bool), np.ones(len(h1), bool)
-        for k, level in enumerate(self.levels):
-            at = np.flatnonzero(open_)
-            inside = level.has(k, h1[at], h2[at])
-            # turned down here: listed if the level holds unlisted keys
-            out[at[~inside]] = k % 2 == 1
-            open_[at[~inside]] = False
-        out[open_] = len(self.levels) % 2 == 1
-        return out
 
+def _encode(keys: DataFrame, number: int, bits: int, hashes: int) -> DataFrame:
+    """(shard, level, bits, hashes, words binary) of the shards that have keys."""
 
-def _encode(keys: DataFrame, number: int, bits: int, hashes: int) -> Level:
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            at = np.concatenate(list(positions(number, bits, hashes, pdf.h1.to_numpy(), pdf.h2.to_numpy())))
-            at = np.unique(at)
-            word = at >> np.uint64(6)
-            new = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(at) else []
-            if len(new):
+            shard = pdf.shard.to_numpy()
+            for s in np.unique(shard):
+                mine = pdf[shard == s]
+                at = np.unique(np.concatenate(list(positions(number, bits, hashes, mine.h1.to_numpy(), mine.h2.to_numpy()))))
+                word = at >> np.uint64(6)
+                new = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
                 mask = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), new)
-                yield pd.DataFrame({"word": word[new].astype(np.int64), "mask": mask.view(np.int64)})
-
-    marked = keys.select("h1", "h2").mapInPandas(mark, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask"))
-    words = np.zeros(-(-bits // 64), np.uint64)
-    got = marked.toPandas()  # at most MAX_BITS / 64 rows
-    words[got["word"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64).view(np.uint64)
-    return Level(bits, hashes, words)
-
+                yield pd.DataFrame({"shard": s, "word": word[new].astype(np.int64), "mask": mask.view(np.int64)})
 
-def _passing(keys: DataFrame, level: Level, number: int) -> DataFrame:
-    shared = keys.sparkSession.sparkContext.broadcast(level)
+    def dense(pdf: pd.DataFrame) -> pd.DataFrame:  # bits / 64 rows at most
+        words = np.zeros(-(-bits // 64), np.uint64)
+        words[pdf["word"].to_numpy(np.int64)] = pdf["mask"].to_numpy(np.int64).view(np.uint64)
+        return pd.DataFrame({"shard": pdf.shard.iloc[:1], "level": number, "bits": bits, "hashes": hashes, "words": [words.tobytes()]})
 
-    @F.pandas_udf("boolean")
-    def has(h1: pd.Series, h2: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.has(number, h1.to_numpy(), h2.to_numpy()))
+    marked = keys.select("shard", "h1", "h2").mapInPandas(mark, "shard long, word long, mask long").groupBy("shard", "word").agg(F.bit_or("mask").alias("mask"))
+    return marked.groupBy("shard").applyInPandas(dense, "shard long, level int, bits long, hashes int, words binary")
 
-    return keys.where(has("h1", "h2"))
 
+def _tested(df: DataFrame, h1: str, h2: str, shard: str, levels: DataFrame, out_col: str, test) -> DataFrame:
+    """df with a boolean column: what test(levels of its shard, h1, h2) says of each row."""
+    spark = df.sparkSession
+    n_bytes = levels.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
 
-def hashed(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumns({"h1": F.xxhash64(F.col(key)), "h2": F.xxhash64(F.col(key), F.lit("second"))})
-
+    def say(known: dict[int, list[Level]], s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(s), bool)
+        for one in np.unique(s):
+            mine = np.flatnonzero(s == one)
+            out[mine] = test(known.get(one, []), a[mine], b[mine])
+        return out
 
-def build_cascade(listed: DataFrame, universe: DataFrame, key: str = "key") -> Cascade | None:
-    """Cascade of the keys in `listed` over all keys in `universe`; None if it would exceed MAX_BITS."""
-    scratch = Scratch(listed.sparkSession, "cascade")
-    inside = listed.select(key).where(F.col(key).isNotNull()).distinct()
-    inside = scratch.write(hashed(inside, key).select(key, "h1", "h2"), "listed")
-    others = universe.select(key).where(F.col(key).isNotNull()).distinct().join(inside.select(key), key, "left_anti")
-    others = scratch.write(hashed(others, key).select(key, "h1", "h2"), "unlisted")
-    n, n_others = inside.count(), others.count()
-    levels: list[Level] = []
-    current, against, used = inside, others, 0
+    def level(r) -> Level:
+        return Level(r["bits"], r["hashes"], np.frombuffer(r["words"], np.uint64))
+
+    if n_bytes <= BROADCAST_BYTES:
+        held: dict[int, list[Level]] = {}
+        for r in sorted(levels.collect(), key=lambda r: r["level"]):  # BROADCAST_BYTES at most
+            held.setdefault(r["shard"], []).append(level(r))
+        shared = spark.sparkContext.broadcast(held)
+
+        @F.pandas_udf("boolean")
+        def member(s: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series(say(shared.value, s.to_numpy(), a.to_numpy(), b.to_numpy()))
+
+        return df.withColumn(out_col, member(shard, h1, h2))
+
+    own, salt, names = unused(df, "__levels"), unused(df, "__salt"), df.columns
+    rows = df.withColumns({own: F.lit(None).cast("struct<level:int,bits:bigint,hashes:int,words:binary>"), salt: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))})
+    heads = levels.select(F.col("shard").alias(shard), F.struct("level", "bits", "hashes", "words").alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias(salt))
+    dealt = rows.unionByName(heads, allowMissingColumns=True).repartition(shard, salt).sortWithinPartitions(shard, salt, F.col(own).isNull(), f"{own}.level")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, list[Level]] = {}
+        last = 0
+        for batch in batches:
+            is_row, s = batch.column(own).is_null().to_numpy(zero_copy_only=False), batch.column(shard).to_numpy(zero_copy_only=False)
+            # runs of levels and of rows alternate; levels hold for the shard's rows behind them
+            for run in np.split(np.arange(len(s)), np.flatnonzero(is_row[1:] != is_row[:-1]) + 1) if len(s) else ():
+                part = batch.slice(run[0], len(run))
+                if is_row[run[0]]:
+                    said = say(known, s[run], *(part.column(c).to_numpy(zero_copy_only=False) for c in (h1, h2)))
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(said)], [*names, out_col])
+                    continue
+                for r in part.select([shard, own]).to_pylist():
+                    # a shard's first level, or another part of the shard begins
+                    if known.keys() != {r[shard]} or r[own]["level"] <= last:
+                        known = {r[shard]: []}
+                    known[r[shard]].append(level(r[own]))
+                    last = r[own]["level"]
+
+    schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.BooleanType())])
+    return dealt.mapInArrow(stream, schema)
+
+
+def _hashes(key: F.Column, shards: int) -> list[F.Column]:
+    return [F.xxhash64(key), F.xxhash64(key, F.lit("second")), F.pmod(F.xxhash64(key, F.lit("shard")), F.lit(shards).cast("long"))]
+
+
+def build_cascade(listed: DataFrame, universe: DataFrame, scratch: Scratch, key: str = "key") -> tuple[DataFrame, int]:
+    """(shard, level, bits, hashes, words) of the cascade of the keys in `listed` over all keys in `universe`; shards."""
+    marked = listed.select(F.col(key).alias("key"), F.lit(True).alias("inside"), F.lit(False).alias("met"))
+    marked = marked.unionByName(universe.select(F.col(key).alias("key"), F.lit(False).alias("inside"), F.lit(True).alias("met")))
+    marked = marked.where("key IS NOT NULL").groupBy("key").agg(F.max("inside").alias("inside"), F.max("met").alias("met"))
+    # listed keys that the corpus lacks are asked by nobody
+    keys = scratch.write(marked.where("met").select("key", "inside"), "keys")
+    n, n_others = keys.agg(F.count_if("inside"), F.count_if(~F.col("inside"))).first()
+    shards = max(1, -(-n // SHARD_KEYS))
+    hashed = scratch.write(keys.select(*[h.alias(c) for h, c in zip(_hashes(F.col("key"), shards), ("h1", "h2", "shard"), strict=True)], "inside"), "hashed")
+    current, against = hashed.where("inside").drop("inside"), hashed.where("NOT inside").drop("inside")
     error = min(0.5, max(1e-4, n * math.sqrt(0.5) / max(n_others, 1)))
-    while n:
-        if len(levels) == MAX_LEVELS:
-            raise RuntimeError("the cascade does not end: keys of both sides have equal hashes")
-        bits, hashes = shape(n, error)
-        used += bits
-        if used > MAX_BITS:
-            return None
-        number = len(levels)
-        levels.append(_encode(current, number, bits, hashes))
-        wrong = scratch.write(_passing(against, levels[-1], number), f"level-{number}")
-        current, against, n, error = wrong, current, wrong.count(), 0.5
-    scratch.drop()
-    return Cascade(levels)
+    levels = None
+    for number in range(MAX_LEVELS):
+        # one shape for all shards: that of the fullest
+        most = current.groupBy("shard").count().agg(F.max("count")).first()[0]
+        if not most:
+            break
+        made = scratch.write(_encode(current, number, *shape(most, error)), f"words-{number}")
+        levels = made if levels is None else levels.unionByName(made)
+        wrong = _tested(against, "h1", "h2", "shard", made, "passes", lambda own, a, b, k=number: own[0].has(k, a, b) if own else np.zeros(len(a), bool))
+        current, against, error = scratch.write(wrong.where("passes").drop("passes"), f"level-{number}"), current, 0.5
+    else:
+        raise RuntimeError("the cascade does not end: keys of both sides have equal hashes")
+    empty = keys.sparkSession.createDataFrame([], "shard long, level int, bits long, hashes int, words binary")
+    return (empty if levels is None else levels), shards
 
 
 def in_list(df: DataFrame, key: str, listed: DataFrame, out_col: str = "listed") -> DataFrame:
     """df with a boolean column: whether its key is in listed (a DataFrame with that key)."""
-    cascade = build_cascade(listed, df, key)
-    if cascade is None:
-        marks = listed.select(key).where(F.col(key).isNotNull()).distinct().withColumn(out_col, F.lit(True))
-        return df.join(marks, key, "left").withColumn(out_col, F.coalesce(out_col, F.lit(False)))
-    shared = df.sparkSession.sparkContext.broadcast(cascade)
-
-    @F.pandas_udf("boolean")
-    def member(h1: pd.Series, h2: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.listed(h1.to_numpy(), h2.to_numpy()))
-
-    tested = hashed(df, key).withColumn(out_col, F.col(key).isNotNull() & member("h1", "h2"))
-    return tested.drop("h1", "h2")
+    out_col = unused(df, out_col)
+    levels, shards = build_cascade(listed, df, Scratch(df.sparkSession, "cascade"), key)
+    names = [unused(df, f"__h{k}") for k in range(3)]
+    tested = df.withColumns(dict(zip(names, _hashes(F.col(key), shards), strict=True)))
+    tested = _tested(tested, *names, levels, out_col, _listed)
+    return tested.select(*df.columns, (F.col(key).isNotNull() & F.col(out_col)).alias(out_col))
 
 
 def host_and_path(url: F.Column) -> tuple[F.Column, F.Column]:
@@ -185,12 +236,15 @@ def listed_hosts(hosts: DataFrame, names: tuple[str, ...] = LISTED_NAMES) -> Dat
     return hosts.where(F.arrays_overlap(F.split("host", "\\."), F.array(*[F.lit(n) for n in names])))
 
 
-def judge(pages: DataFrame) -> DataFrame:
-    """(page_id, host, path, rule, verdict) of every url: a rule's verdict, else block for a listed host."""
-    scratch = Scratch(pages.sparkSession, "urls")
+def parsed(pages: DataFrame) -> DataFrame:
+    """(page_id, host, path) of every url."""
     host, path = host_and_path(F.col("url"))
-    rows = scratch.write(pages.select("page_id", host.alias("host"), path.alias("path")).fillna("", ["host", "path"]), "parsed")
-    tested = in_list(rows, "host", listed_hosts(rows.select("host").distinct()))
+    return pages.select("page_id", host.alias("host"), path.alias("path")).fillna("", ["host", "path"])
+
+
+def judge(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """(page_id, host, path, rule, verdict) of the rows of parsed(): a rule's verdict, else block for a host in `listed`."""
+    tested = in_list(rows, "host", listed)
     rule, verdict = rule_of(F.col("host"), F.col("path"))
     own = F.when(F.col("listed"), "block").otherwise("allow")
     return tested.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"))

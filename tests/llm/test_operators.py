@@ -13,6 +13,8 @@ import pytest
 import xxhash
 from oracle import duck_rows, spark_rows
 
+from pyspark.sql import functions as F
+
 from seqloom.llm import decontaminate, pii, quality, queries, simhash, substring_dedup, topk, toxicity, url_filter, warc
 from seqloom.llm.sentencepiece_bpe import Encoder, Vocabulary, sentencepiece_decode, sentencepiece_encode
 
@@ -426,13 +428,21 @@ def test_op8_rules(spark, tables):
     assert got == want and {w[4] for w in want} == {"allow", "block"}
 
 
-def test_op8_cascade_is_exact(spark, monkeypatch):
-    keys = spark.range(20_000).selectExpr("concat('k', id) AS key", "1 AS h1", "2 AS listed2")
-    listed = keys.where("pmod(xxhash64(key), 9) = 0").select("key")
-    for most in (url_filter.MAX_BITS, 64):
-        monkeypatch.setattr(url_filter, "MAX_BITS", most)
-        marked = url_filter.in_list(keys.drop("h1"), "key", listed)
-        assert marked.where("listed <> (pmod(xxhash64(key), 9) = 0)").count() == 0 and marked.count() == 20_000
+@pytest.mark.parametrize(("shard_keys", "most"), [(1 << 20, 8_000_000), (200, 8_000_000), (200, 0), (1 << 20, 0)])
+def test_op8_cascade_is_exact(spark, monkeypatch, shard_keys, most):
+    """One shard and many, levels broadcast and sent to their shards' rows; every column kept, whatever its name."""
+    monkeypatch.setattr(url_filter, "SHARD_KEYS", shard_keys)
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", most)
+    keys = spark.range(6_000).selectExpr("concat('k', id) AS key", "id AS h1", "cast(id AS string) AS h2", "2 AS listed2", "array(id) AS shard")
+    rows = keys.unionByName(keys.where("h1 = 18").join(spark.range(3_000)).drop("id")).unionByName(spark.sql("SELECT cast(null AS string) AS key, -1L AS h1, 'x' AS h2, 2 AS listed2, array(1L) AS shard"))
+    listed = keys.where("pmod(xxhash64(key), 9) = 0").select("key").unionByName(spark.sql("SELECT 'nowhere' AS key UNION ALL SELECT null"))
+    marked = url_filter.in_list(rows, "key", listed)
+    assert marked.columns == [*rows.columns, "listed"] and marked.count() == 9_001
+    assert marked.where("listed <> (key IS NOT NULL AND pmod(xxhash64(key), 9) = 0) OR concat('k', h1) <> key OR shard[0] <> h1 AND key IS NOT NULL OR h2 <> cast(h1 AS string) AND key IS NOT NULL").count() == 0
+    clash = rows.limit(5).withColumn("listed", F.lit("mine"))
+    assert url_filter.in_list(clash, "key", listed).columns == [*clash.columns, "listed_"]
+    assert url_filter.in_list(rows, "key", listed.limit(0)).where("listed").count() == 0
+    assert url_filter.in_list(rows.limit(0), "key", listed).count() == 0
 
 
 # 9
