@@ -73,17 +73,26 @@ def recording() -> Iterator[list[Scratch]]:
             scratch.drop()
 
 
+def _keep(df: DataFrame, label: str) -> tuple[DataFrame, Scratch]:
+    _RECORDS.append([])  # the folder is nobody's to delete
+    try:
+        own = Scratch(df.sparkSession, label)
+        return own.write(df, "result"), own
+    finally:
+        _RECORDS.pop()
+
+
 def settled(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> DataFrame:
     """What make() returns. If it used scratch tables, its result is written as the one table that stays."""
     with recording() as made:
         df = make()
-        if not made:
-            return df
-        _RECORDS.append([])  # the result's own folder is nobody's to delete
-        try:
-            return Scratch(spark, label).write(df, "result")
-        finally:
-            _RECORDS.pop()
+        return _keep(df, label)[0] if made else df
+
+
+def written(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> tuple[DataFrame, Scratch]:
+    """What make() returns, written and read again, and its folder; scratch tables made on the way are deleted."""
+    with recording():
+        return _keep(make(), label)
 
 
 def unused(df: DataFrame, name: str) -> str:
