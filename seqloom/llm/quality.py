@@ -7,12 +7,14 @@ difference of their features says how likely the good one is preferred. The deci
 a quantile of the training scores, the one with the best balanced accuracy there; scores are
 shifted so that it stands at THRESHOLD after the logistic function.
 
-Fitting reads a bounded sample of the labelled rows (SAMPLE rows by hash of their id, PAIRS pairs);
-scoring reads every whole text, in one map without a shuffle.
-
-Defined results: null or empty text has zero features and gets a score like any other; repeated
-rows get equal scores; labels that are null or without a document are ignored; without two
-classes among the labels every score is THRESHOLD; other columns are not read.
+Fitting reads a bounded sample of the labelled ids (SAMPLE ids by their hash, PAIRS pairs), one row of
+features each; scoring reads every whole text, in one map without a shuffle.
+
+Defined results: null or empty text has zero features and gets a score like any other; very long texts are
+measured whole; repeated rows get equal scores, and equal scores equal predictions; of several labels of one
+id the larger counts, of several documents with a labelled id the one with the least features; labels
+that are null or without a document are ignored; without two classes among the labels (as with an empty
+table of labels) every score is THRESHOLD; no documents give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -71,7 +73,8 @@ class Model:
         return np.concatenate([steps, (x - self.centre) / self.spread], axis=1)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(self.expand(x), -8, 8) @ self.weights
+        # summed row by row, so that a text's score does not depend on its batch
+        return (np.clip(self.expand(x), -8, 8) * self.weights).sum(axis=1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.raw(x) - self.shift, -40, 40)))
@@ -100,7 +103,7 @@ def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, steps: int = STEPS,
         if np.abs(step).max() < 1e-6:
             break
     m.weights = w
-    raw = wide @ w
+    raw = m.raw(x)
     levels = np.quantile(raw, np.linspace(0.005, 0.995, 199))
     balance = [((raw >= t) & good).sum() / good.sum() + ((raw < t) & ~good).sum() / (~good).sum() for t in levels]
     m.shift = levels[int(np.argmax(balance))] - base
@@ -108,9 +111,9 @@ def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, steps: int = STEPS,
 
 
 def training_rows(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, label) of a bounded sample of the labels that may be learned from."""
+    """(doc_id, label) of a bounded sample of the ids that may be learned from."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    return known.select("doc_id", (F.col("quality") == 1).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    return known.groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -120,8 +123,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf.doc_id, "label": pdf.label, "x": [features(t).tolist() for t in pdf.text]})
 
-    got = rows.mapInPandas(measure, "doc_id long, label boolean, x array<double>").toPandas()  # a few numbers for each sampled row
-    got = got.sort_values("doc_id", kind="stable")
+    # one row an id before anything comes to the driver, so the sample bounds it
+    measured = rows.mapInPandas(measure, "doc_id long, label boolean, x array<double>").groupBy("doc_id", "label").agg(F.min("x").alias("x"))
+    got = measured.toPandas().sort_values("doc_id", kind="stable")
     return fit(np.array(got.x.tolist()).reshape(len(got), FEATURES), got.label.to_numpy(bool))
 
 

@@ -45,7 +45,7 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
-    files = scratch.write(warc.archives(warc.with_record_types(table(spark, sf_dir, "pages"))), "archives")
+    files = scratch.write(warc.archives(warc.with_record_types(table(spark, sf_dir, "pages"), scratch)), "archives")
     read = warc.read_archives(files, payloads=False)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

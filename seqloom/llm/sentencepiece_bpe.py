@@ -13,6 +13,10 @@ high as the merged piece; pieces for which the vocabulary allows that are known
 A segment ends where two neighbouring characters stand together in no piece, as no merge can
 cross that place; so long texts without spaces fall apart as well.
 
+The model goes to tasks as its bytes, so executors need no file. A model whose normaliser or way of
+splitting is not the one above (identity, a space put in front, split at spaces only) is turned down: the
+driver encodes PROBES with it and with the library before anything runs.
+
 Defined results: null text counts as empty (no ids, empty decoded text); very long texts and
 words are encoded whole; repeated rows are encoded alike; an empty table gives an empty table;
 other columns are not read by the operator.
@@ -24,6 +28,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain, count, islice, pairwise
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -32,6 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
+#: Texts on which normalisers and ways of splitting differ.
+PROBES = ("", " ", "  two  spaces ", "ﬁ Ａ① ½ e\u0301 İ", "CamelCase UPPER", "year 1999-2024, 3.14", "a\tb\nc\r\n", "日本語テキスト 한국어", "▁x▁▁y", "x\u00a0y\u3000z\u200b", "\x00\x7f😀𝔘", "don't (stop)!")
 #: Words kept in a task's cache; beyond it the cache is emptied (about 150 MB).
 CACHE_WORDS = 700_000
 #: Characters encoded at a time.
@@ -41,10 +48,11 @@ SLICE_CHARS = 2_000_000
 class Vocabulary:
     """Tables of a BPE model with byte fallback, read through the library's own loader."""
 
-    def __init__(self, model_file: str):
+    def __init__(self, model: bytes | str):
+        """model: the bytes of a model file, or its place."""
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model) if isinstance(model, bytes) else sentencepiece.SentencePieceProcessor(model_file=model)
         n = sp.vocab_size()
         special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) for i in range(n)]
         pieces = [sp.id_to_piece(i) for i in range(n)]
@@ -211,16 +219,29 @@ def _words(text: str) -> list[str]:
     return text.split(" ")
 
 
+def model_bytes(model_file: str) -> bytes:
+    """The model, read on the driver. Raises ValueError if this encoder would not give the library's ids."""
+    import sentencepiece
+
+    data = Path(model_file).read_bytes()
+    sp, own = sentencepiece.SentencePieceProcessor(model_proto=data), Encoder(Vocabulary(data))
+    for probe in PROBES:
+        ids, _, decoded = own([probe])
+        if sp.encode(probe) != ids.tolist() or sp.decode(sp.encode(probe)) != decoded[0]:
+            raise ValueError(f"{model_file}: its normaliser or way of splitting is not supported ({probe!r} is encoded otherwise)")
+    return data
+
+
 def sentencepiece_encode(
     df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = SLICE_CHARS
 ) -> DataFrame:
     """(id_col, ids array<int>, decoded string) for every row: a map over partitions, without a shuffle."""
-    kind = dict(df.dtypes)[id_col]
+    kind, model = dict(df.dtypes)[id_col], df.sparkSession.sparkContext.broadcast(model_bytes(model_file))  # under 1 MB
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(Vocabulary(model_file))
+            encoder = encoder or Encoder(Vocabulary(model.value))
             lengths = np.cumsum(np.asarray(pa.compute.utf8_length(batch.column(1)).fill_null(0)))
             at = 0
             while at < batch.num_rows:
@@ -239,10 +260,11 @@ def sentencepiece_encode(
 
 def sentencepiece_decode(df: DataFrame, model_file: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds the text of an array of ids; null ids give null."""
+    model = df.sparkSession.sparkContext.broadcast(model_bytes(model_file))
 
     @F.pandas_udf("string")
     def text_of(chunks: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        v = Vocabulary(model_file)
+        v = Vocabulary(model.value)
         for ids in chunks:
             yield ids.map(lambda x: None if x is None else v.decode(x))
 

@@ -2,22 +2,28 @@
 
 Categories come in a fixed order, and each one's model sees the words of a text and the
 probabilities of the categories before it. While training, those come from models fitted on the
-other folds (out of fold), so a later model learns from what the earlier ones will really say
-about unseen text. The last category is the label itself; the ones before it are its kinds,
-marked on labelled toxic rows by seed words.
-
-Words are chosen over a bounded sample of labelled rows: those whose presence tells most about
-the label, as long as several rows hold them. Scoring reads every whole text in one map.
-
-Defined results: null or empty text has no words and is scored like any other; repeated rows get
-equal scores; labels that are null or without a document are ignored; without two classes among
-the labels every probability is 0; other columns are kept by reject() and not read by score().
+other folds (out of fold; copies of a text share a fold), so a later model learns from what the earlier
+ones will really say about unseen text. The last category is the label itself; the ones before it are the
+two kinds of toxic text that differ most, whatever the language: the sides of the main direction in which
+the labelled toxic rows' telling words vary.
+
+Words are chosen over a bounded sample of labelled ids: those whose presence tells most about
+the label, as long as several rows hold them. Scoring reads every whole text in one map. With few
+labelled toxic documents few are found: at least LEAST_ROWS must share a word.
+
+Defined results: null or empty text has no words and is scored like any other; very long texts are read
+whole; repeated rows get equal scores, and equal scores equal verdicts (a score at the threshold is toxic);
+of several labels of one id the larger counts, of several documents with a labelled id the one with the
+least sequence of words; labels that are null or without a document are ignored; without two classes among
+the labels (as with an empty table of labels) every probability is 0; no documents give no rows; other
+columns are kept by reject() and not read by score().
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -26,12 +32,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import unused
 
-#: Seed words of the kinds, fixed.
-SEEDS = {
-    "insult": ("idiot", "moron", "loser", "clown", "scum"),
-    "contempt": ("disgusting", "pathetic", "stupid", "trash", "worthless"),
-}
-CHAIN = (*SEEDS, "toxic")
+CHAIN = ("kind_1", "kind_2", "toxic")
 SAMPLE, WORDS, LEAST_ROWS, FOLDS, RIDGE, THRESHOLD, PRECISION = 12_000, 200, 5, 3, 1.0, 0.5, 0.97
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -58,7 +59,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
 
 
 def _chance(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+    # summed row by row, so that a text's chance does not depend on its batch
+    return 1 / (1 + np.exp(-np.clip((x * w[:-1]).sum(axis=1) + w[-1], -30, 30)))
 
 
 class Chain:
@@ -118,16 +120,32 @@ def best_threshold(chance: np.ndarray, label: np.ndarray) -> float:
     return float(min(THRESHOLD, 1 / (1 + np.exp(-odds(edge).mean()))))
 
 
+def kinds(present: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """(rows, 2) marks: on which side of the toxic rows' main direction each of them lies; none for the others."""
+    out = np.zeros((len(present), 2), int)
+    rows = np.flatnonzero(toxic)
+    if len(rows):
+        x = present[rows] - present[rows].mean(axis=0)
+        direction = np.linalg.svd(x.T @ x)[0][:, 0]
+        direction = direction * np.sign(direction[np.argmax(np.abs(direction))])  # an eigenvector has no sign of its own
+        side = x @ direction > 1e-9
+        out[rows, 0], out[rows, 1] = side, ~side
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-    known = known.select("doc_id", (F.col("toxic") == 1).cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
+    known = known.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "toxic": pdf.toxic, "words": [sorted(words_of(t)) for t in pdf.text]})
+            folds = [crc32((t or "").encode("utf-8", "replace")) % FOLDS for t in pdf.text]
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "toxic": pdf.toxic, "words": [sorted(words_of(t)) for t in pdf.text], "fold": folds})
 
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    rows = rows.mapInPandas(split, "doc_id long, toxic int, words array<string>").persist()  # bounded by the sample
+    rows = rows.mapInPandas(split, "doc_id long, toxic int, words array<string>, fold int")
+    # one row an id, so the sample bounds what follows
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct("words", "fold")).alias("one")).select("doc_id", "toxic", "one.*").persist()
     try:
         n, n_toxic = rows.agg(F.count("*"), F.sum("toxic")).first()
         if not n or not n_toxic or n == n_toxic:
@@ -136,14 +154,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
         odds = F.log((F.col("t") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("n") - F.col("t") + 0.5) / (n - n_toxic + 1.0))
         best = held.where(F.col("n") >= LEAST_ROWS).orderBy(F.desc(F.abs(odds) * F.sqrt("n")), "word").limit(WORDS)
         vocabulary = {w: i for i, w in enumerate(sorted(r["word"] for r in best.collect()))}
-        seeds = {k: set(s) for k, s in SEEDS.items()}
-        wanted = F.array(*[F.lit(w) for w in sorted(vocabulary.keys() | set().union(*seeds.values()))])
-        got = rows.select("doc_id", "toxic", F.array_intersect("words", wanted).alias("words")).toPandas().sort_values("doc_id", kind="stable")
+        wanted = F.array(*[F.lit(w) for w in sorted(vocabulary)]).cast("array<string>")
+        got = rows.select("doc_id", "toxic", "fold", F.array_intersect("words", wanted).alias("words")).toPandas().sort_values("doc_id", kind="stable")
     finally:
         rows.unpersist()
-    marks = np.array([[*(bool(s & set(w)) and t == 1 for s in seeds.values()), t] for w, t in zip(got.words, got.toxic, strict=True)], int)
-    present = [sorted(vocabulary[w] for w in ws if w in vocabulary) for ws in got.words]
-    return fit_chain(vocabulary, present, marks, np.arange(len(got)) % FOLDS)
+    present, toxic = [sorted(vocabulary[w] for w in ws) for ws in got.words], got.toxic.to_numpy(int)
+    marks = np.column_stack([kinds(_dense(present, len(vocabulary)), toxic == 1), toxic])
+    return fit_chain(vocabulary, present, marks, got.fold.to_numpy(int))
 
 
 def scorer(chain: Chain):
@@ -159,7 +176,7 @@ def scorer(chain: Chain):
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, p_insult, p_contempt, p_toxic, toxic) of every document."""
+    """(doc_id, p_kind_1, p_kind_2, p_toxic, toxic) of every document."""
     chain = train(docs, labels)
     rows = docs.select("doc_id", scorer(chain)("text").alias("p")).select("doc_id", "p.*")
     return rows.withColumn("toxic", (F.col("p_toxic") >= chain.threshold).cast("int"))

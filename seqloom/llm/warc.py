@@ -7,8 +7,10 @@ store Spark writes to: no task opens a local path, and a lost executor's archive
 
 Deduplication. Among records whose payloads of MIN_REVISIT bytes or more are equal (SHA-1 and
 length), that with the largest page_id is the response and the others revisit it. The largest
-page_id of each digest is a grouped maximum with partial aggregation; digests that occur once
-never leave it, and the join back is salted, as one payload may be a large share of all.
+page_id of each digest is a grouped maximum with partial aggregation, and digests that occur once
+never leave it. Repeated ones come back as a broadcast while they are under BROADCAST_ROWS, so payloads
+do not move; beyond that, digests of HOT records or more are few enough for it, and rows of the others are
+joined by a shuffle in which no digest has HOT rows. Payloads too short to repeat are never joined.
 
 Defined results: null html is an empty payload; rows with equal page_id and payload, if theirs is
 the largest, are all responses; a null page_id never is the one referred to, and where a group has
@@ -28,13 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import Scratch
+from .joins import BROADCAST_ROWS
+
 #: Zstandard's frame marks, the one the format takes for the dictionary, and WARC's fixed strings.
 ZSTD_MAGIC, DICT_FRAME = 0xFD2FB528, 0x184D2A5D
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
-MIN_REVISIT, SALTS = 1000, 32
+MIN_REVISIT, HOT = 1000, 10_000
 #: Compressed bytes of an archive, bytes of its dictionary, and of records it is trained on.
 ARCHIVE_BYTES, DICT_BYTES, TRAIN_BYTES = 8_000_000, 32_768, 1_000_000
 
@@ -184,20 +189,23 @@ def read_archive(content: bytes) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def with_record_types(pages: DataFrame, salts: int = SALTS) -> DataFrame:
+def with_record_types(pages: DataFrame, scratch: Scratch, hot: int = HOT, limit: int = BROADCAST_ROWS) -> DataFrame:
     """(page_id, url, payload binary, refers_to): refers_to is null for responses."""
     rows = pages.select("page_id", "url", F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     digest = F.when(F.octet_length("payload") >= MIN_REVISIT, F.concat_ws(":", F.sha1("payload"), F.octet_length("payload")))
-    groups = (
-        rows.select(digest.alias("digest"), "page_id")
-        .where("digest IS NOT NULL")
-        .groupBy("digest")
-        .agg(F.max("page_id").alias("kept"), F.count("*").alias("n"))
-        .where("n > 1 AND kept IS NOT NULL")
-        .select("digest", "kept", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    )
-    salt = F.pmod(F.xxhash64(F.coalesce(F.col("page_id"), F.lit(0))), F.lit(salts)).cast("int")
-    joined = rows.withColumns({"digest": digest, "salt": salt}).join(groups, ["digest", "salt"], "left")
+    rows = rows.withColumn("digest", digest)
+    groups = rows.select("digest", "page_id").where("digest IS NOT NULL").groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n"))
+    groups = scratch.write(groups.where("n > 1 AND kept IS NOT NULL"), "repeated")
+    few = groups.limit(limit + 1).count() <= limit
+    first = groups if few else groups.where(F.col("n") >= hot)
+    if not few and first.count() > limit:
+        raise ValueError(f"over {limit} payloads have {hot} copies each: raise hot")
+    joined = rows.join(F.broadcast(first.select("digest", "kept")), "digest", "left")
+    if not few:
+        rest = groups.where(F.col("n") < hot).select("digest", F.col("kept").alias("other"))
+        asks = F.col("digest").isNotNull() & F.col("kept").isNull()
+        later = joined.where(asks).join(rest, "digest", "left").withColumn("kept", F.col("other"))
+        joined = joined.where(~asks).unionByName(later.select(*joined.columns))
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept"))
     return joined.select("page_id", "url", "payload", refers.alias("refers_to"))
 

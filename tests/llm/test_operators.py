@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -16,7 +17,8 @@ from oracle import duck_rows, spark_rows
 from pyspark.sql import functions as F
 
 from seqloom.llm import decontaminate, pii, quality, queries, simhash, substring_dedup, topk, toxicity, url_filter, warc
-from seqloom.llm.sentencepiece_bpe import Encoder, Vocabulary, sentencepiece_decode, sentencepiece_encode
+from seqloom.plans.storage import Scratch
+from seqloom.llm.sentencepiece_bpe import Encoder, Vocabulary, model_bytes, sentencepiece_decode, sentencepiece_encode
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, ids string, words string, value string, block long, fp string, cell long, hash long, __row long"
 rng = random.Random(5)
@@ -133,6 +135,16 @@ def test_op1_round_trip_and_small_caches(spark):
         assert small([text])[0].tolist() == large([text])[0].tolist()
 
 
+def test_op1_turns_other_models_down(tmp_path):
+    """A model file with another normaliser: the byte that says whether a space is put in front is set anew."""
+    data = open(queries.tokenizer_file(), "rb").read()
+    assert model_bytes(queries.tokenizer_file()) == data
+    # normalizer_spec is field 3; within it add_dummy_prefix is field 3 (a varint): appended fields override
+    (tmp_path / "other.model").write_bytes(data + bytes([0x1A, 2, 0x18, 0]))
+    with pytest.raises(ValueError, match="not supported"):
+        model_bytes(str(tmp_path / "other.model"))
+
+
 # 2
 
 
@@ -200,6 +212,67 @@ def test_op3_edge_rows(spark, tables):
     assert np.allclose(one.score(x), quality.THRESHOLD)
 
 
+def test_op3_fit_against_plain_python():
+    """The same pairs by plain gradient steps in Python give the same order of scores and the same threshold."""
+    r = np.random.default_rng(2)
+    x = r.normal(size=(60, quality.FEATURES))
+    good = x[:, 0] + 0.5 * x[:, 3] + r.normal(size=60) * 0.3 > 0
+    m = quality.fit(x, good, pairs=400, steps=2)
+    wide = [[float(v > c) for j, v in enumerate(row) for c in m.cuts[j]] + [(v - a) / b for v, a, b in zip(row, m.centre, m.spread, strict=True)] for row in x.tolist()]
+    pick = np.random.Generator(np.random.PCG64(7))
+    up, down = pick.choice(np.flatnonzero(good), 400), pick.choice(np.flatnonzero(~good), 400)
+    diff = [[min(8, max(-8, a)) - min(8, max(-8, b)) for a, b in zip(wide[i], wide[j], strict=True)] for i, j in zip(up, down, strict=True)]
+
+    def slope(w):
+        out = [quality.RIDGE * v for v in w]
+        for d in diff:
+            p = 1 / (1 + math.exp(sum(a * b for a, b in zip(d, w, strict=True))))
+            for k, v in enumerate(d):
+                out[k] -= v * p / len(diff)
+        return out
+
+    assert max(map(abs, slope(m.weights.tolist()))) < 1e-4  # the minimum of a convex loss
+    raw = [sum(a * b for a, b in zip(map(lambda v: min(8, max(-8, v)), row), m.weights, strict=True)) for row in wide]
+    scores = [1 / (1 + math.exp(-(v - m.shift))) for v in raw]
+    assert np.allclose(scores, m.score(x)) and np.isclose(m.shift + math.log(0.3 / 0.7), np.quantile(raw, np.linspace(0.005, 0.995, 199))).any()
+
+
+def test_op3_op10_repeated_ids_and_contradicting_labels(spark):
+    rows = [(k, f"{'idiot scum' if k % 4 == 0 else 'calm'} {prose(30, k)}") for k in range(80)] + [(4, prose(30, 4)), (8, None)] * 50
+    labels = [(k, int(k % 3 > 0), int(k % 4 == 0), "x") for k in range(80)] + [(4, 0, 0, "x"), (4, 1, 1, "x")]
+    docs, known = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int, words string")
+    for module, query in ((quality, quality.classify), (toxicity, toxicity.score)):
+        a, b = (query(d, k) for d, k in ((docs, known), (docs.repartition(7), known.repartition(3))))
+        assert Counter(map(tuple, a.collect())) == Counter(map(tuple, b.collect())) and a.count() == len(rows), module
+        assert query(docs, known.limit(0)).count() == len(rows)
+    found = {r.doc_id: r.toxic for r in toxicity.score(docs, known).where("doc_id NOT IN (4, 8)").collect()}
+    assert all(t == int(i % 4 == 0) for i, t in found.items())
+
+
+def test_op10_chain_against_plain_python():
+    """Weights are the minimum of each category's ridge loss over the words and the earlier out-of-fold chances; kinds split toxic rows."""
+    r = np.random.default_rng(1)
+    present = [sorted(set(r.integers(0, 5, 3).tolist())) for _ in range(90)]
+    toxic = np.array([int(0 in p or 1 in p) for p in present])
+    marks = np.column_stack([toxicity.kinds(toxicity._dense(present, 5), toxic == 1), toxic])
+    assert (marks[:, 0] + marks[:, 1] == toxic).all() and 0 < marks[:, 0].sum() < toxic.sum()
+    fold = np.arange(90) % toxicity.FOLDS
+    chain = toxicity.fit_chain({str(k): k for k in range(5)}, present, marks, fold)
+    chance = lambda x, w: 1 / (1 + math.exp(-(sum(a * b for a, b in zip(x, w, strict=False)) + w[-1])))
+    x = [[float(k in p) for k in range(5)] for p in present]
+    for n, w in enumerate(chain.weights):
+        y = marks[:, n].tolist()
+        for k in range(len(w)):
+            slope = sum((chance(row, w) - t) * (row[k] if k < len(row) else 1) for row, t in zip(x, y, strict=True)) + (toxicity.RIDGE if k < len(w) - 1 else 1e-6) * w[k]
+            assert abs(slope) < 1e-3
+        unseen = []
+        for f in range(toxicity.FOLDS):
+            mine = [i for i in range(90) if fold[i] != f]
+            unseen.append(toxicity._logistic(np.array([x[i] for i in mine]), np.array([float(y[i]) for i in mine])))
+        x = [[*row, chance(row, unseen[fold[i]])] for i, row in enumerate(x)]
+    assert len(chain.predict(present)[0]) == 3
+
+
 def test_op10_finds_held_out_toxic_documents(spark):
     at = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "labels"))
@@ -283,6 +356,16 @@ def test_op5_round_trip(spark, tables):
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in queries.op5_warc(spark, at["full"]).collect()) == want
 
 
+def test_op5_joins_give_the_same_rows(spark, tables):
+    """Repeated digests by broadcast; hot ones by broadcast and the others by a shuffle; all by a shuffle."""
+    pages, seen = spark.read.parquet(f"{tables[0]['full']}/pages.parquet"), []
+    pages = pages.unionByName(pages.where("html IS NOT NULL AND page_id % 8 = 0").withColumns({"page_id": F.col("page_id") + 1000, "html": F.concat("html", F.repeat(F.lit("x"), 1000))}))
+    for hot, limit in ((10, 100), (10, 1), (10**6, 0)):
+        made = warc.with_record_types(pages, Scratch(spark, "warc"), hot, limit)
+        seen.append(Counter((r.page_id, r.url, bytes(r.payload), r.refers_to) for r in made.collect()))
+    assert seen[0] == seen[1] == seen[2] and any(k[3] for k in seen[0])
+
+
 def test_warc_format():
     records = [warc.format_record(k, "http://x/ y", f"<p>{k}</p>".encode() * 50, None if k % 3 else 7) for k in range(40)]
     data = warc.write_archive(records)
