@@ -265,10 +265,10 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     )
     key, marked, new = (unused(df, c) for c in ("__key", "__marks", "__new"))
     marks = marks.groupBy(F.col("row_key").alias(key)).agg(F.any_value(F.array_sort(F.concat(base, terms))).alias(marked))
-    # texts without a hint of a base span have no mark
     text = F.col(text_col)
+    # texts without a hint of a base span have no mark, and do not move
     hinted = F.coalesce(text.rlike("|".join(HINTS.values())), F.lit(False))
-    keyed = df.withColumn(key, F.when(hinted, row_key(id_col, text_col))).join(marks, key, "left")
+    keyed = df.where(hinted).withColumn(key, row_key(id_col, text_col)).join(marks, key, "left")
     clean = _replaced(text, F.col(marked))
     # a column of its own: in one select, the length would see the new text's alias and clean it once more
     keyed = keyed.withColumn(new, F.when(F.col(marked).isNotNull(), clean))
@@ -276,4 +276,4 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     if length_col in df.columns:
         length = F.length(new).cast(dict(df.dtypes)[length_col])
         put[length_col] = F.when(F.col(marked).isNull(), F.col(length_col)).otherwise(length).alias(length_col)
-    return keyed.select(*[put.get(c, F.col(c)) for c in df.columns])
+    return keyed.select(*[put.get(c, F.col(c)) for c in df.columns]).union(df.where(~hinted))
