@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import stable_accession
+from ..plans.storage import Scratch
 from ..registry import query
 from ..sources.views import CDS_SQL, cds, table
 
@@ -98,7 +99,8 @@ _SPLIT = f"""{CDS_SQL}, names AS (SELECT doc_id, cohort, regexp_replace(unnest([
 
 @query("J6_holdout_split", f"WITH {_SPLIT} SELECT * FROM split")
 def j6(spark: SparkSession, sf: str) -> DataFrame:
-    records = cds(spark, sf).drop("rna")
+    # whole texts are read and hashed once; the branches read the keys
+    records = Scratch(spark, "keys").write(cds(spark, sf).drop("rna"), "records")
     return holdout_split(records.where("cohort = 'holdout'"), records.where("cohort = 'training'"))
 
 
@@ -110,7 +112,7 @@ def j6(spark: SparkSession, sf: str) -> DataFrame:
 )
 def j7(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of what must not be there; all but n_kept should be zero."""
-    records = cds(spark, sf).drop("rna")
+    records = Scratch(spark, "keys").write(cds(spark, sf).drop("rna"), "records")
     training = records.where("cohort = 'training'")
     kept = holdout_split(records.where("cohort = 'holdout'"), training).where("reason IS NULL").select("doc_id", "sequence_sha256")
     twice = kept.groupBy("doc_id").agg(F.count("*").alias("n"))

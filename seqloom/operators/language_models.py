@@ -103,8 +103,11 @@ def l3(spark: SparkSession, sf: str) -> DataFrame:
 def score(records: DataFrame, unigram: DataFrame, bigram: DataFrame) -> DataFrame:
     """(doc_id, n, unigram_bits, bigram_bits): bits a base of each record. Models are 64 and 4096 rows
     at most, so they are broadcast; an unseen predecessor falls back to the unigram."""
-    rows = pairs(records, "doc_id").join(F.broadcast(unigram.withColumnRenamed("p", "u")), "codon").join(F.broadcast(bigram.withColumnRenamed("p", "b")), ["prev", "codon"], "left")
-    sums = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.log("u")).alias("lu"), F.sum(F.log(F.coalesce("b", "u"))).alias("lb"))
+    # a long record has at most 4096 different pairs: they are counted before the models come to them
+    rows = pairs(records, "doc_id").groupBy("doc_id", "prev", "codon").agg(F.count("*").alias("k"))
+    rows = rows.join(F.broadcast(unigram.withColumnRenamed("p", "u")), "codon").join(F.broadcast(bigram.withColumnRenamed("p", "b")), ["prev", "codon"], "left")
+    k = F.col("k")
+    sums = rows.groupBy("doc_id").agg(F.sum("k").alias("n"), F.sum(k * F.log("u")).alias("lu"), F.sum(k * F.log(F.coalesce("b", "u"))).alias("lb"))
     bits = lambda c: F.round(log_frame_loss(F.col(c), 3 * F.col("n")), 6)
     return sums.select("doc_id", "n", bits("lu").alias("unigram_bits"), bits("lb").alias("bigram_bits"))
 

@@ -14,9 +14,12 @@ from ..functions.sequence import hamming, r6
 from ..plans.graph import connected_components
 from ..plans.storage import Scratch
 from ..registry import query
-from ..sources.views import CDS_SQL, cds, table
+from ..sources.views import CDS_SQL, cds, fragments, fragments_sql, table
 
 BLOCK = ["family", "taxon"]
+#: Bases of the fragments that whole records are cut into, so that many have equal lengths; for the audit over all strata.
+FRAGMENT, LONG_FRAGMENT = 24, 48
+THRESHOLDS = (0.99, 0.95, 0.9)
 
 
 def similar_pairs(records: DataFrame, threshold: float, block: list[str] = BLOCK) -> DataFrame:
@@ -42,13 +45,13 @@ def similar_pairs(records: DataFrame, threshold: float, block: list[str] = BLOCK
     return rows.withColumn("differences", hamming(F.col("ra"), F.col("rb"))).withColumn("bound", bound).where("differences <= bound").select(*block, "n", "a", "b", "differences")
 
 
-_PAIRS = f"""{CDS_SQL}, u AS (SELECT DISTINCT family, taxon, sequence_sha256, rna, length(rna) AS n FROM cds),
+_PAIRS = f"""{fragments_sql(FRAGMENT)}, u AS (SELECT DISTINCT family, taxon, sequence_sha256, rna, length(rna) AS n FROM frag),
 pair AS (SELECT a.family, a.taxon, a.n, a.sequence_sha256 AS a, b.sequence_sha256 AS b, hamming(a.rna, b.rna) AS differences FROM u a JOIN u b ON a.family = b.family AND a.taxon = b.taxon AND a.n = b.n AND a.sequence_sha256 < b.sequence_sha256)"""
 
 
 @query("J8_blocked_pairs", f"WITH {_PAIRS} SELECT * FROM pair WHERE differences <= floor(0.1 * n + 1e-10)")
 def j8(spark: SparkSession, sf: str) -> DataFrame:
-    return similar_pairs(cds(spark, sf), 0.9)
+    return similar_pairs(fragments(spark, sf, FRAGMENT), 0.9)
 
 
 @query(
@@ -98,7 +101,7 @@ cl AS (SELECT family, taxon, node AS sequence_sha256, min(root) AS cluster FROM
 
 @query("G1_components", f"WITH {_cluster_sql(0.9)} SELECT family, taxon, sequence_sha256, cluster FROM cl")
 def g1(spark: SparkSession, sf: str) -> DataFrame:
-    return clusters(cds(spark, sf), 0.9)
+    return clusters(fragments(spark, sf, FRAGMENT), 0.9)
 
 
 @query(
@@ -109,46 +112,122 @@ def g1(spark: SparkSession, sf: str) -> DataFrame:
 )
 def g2(spark: SparkSession, sf: str) -> DataFrame:
     out = None
-    records = cds(spark, sf)
-    for t in (0.99, 0.95, 0.9):
+    records = Scratch(spark, "fragments").write(fragments(spark, sf, FRAGMENT), "records")
+    for t in THRESHOLDS:
         one = clusters(records, t).groupBy("family", "taxon", "cluster").agg(F.count("*").alias("k")).agg(F.sum("k").alias("n"), F.count("*").alias("n_clusters"))
         one = one.select(F.lit(t).alias("threshold"), "n", "n_clusters")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query(
-    "G3_homology_audit",
-    f"""WITH {_PAIRS}, side AS (SELECT family, taxon, sequence_sha256, bool_or(cohort = 'training') AS tr, bool_or(cohort = 'holdout') AS ho FROM cds GROUP BY ALL),
-    e AS (SELECT p.*, (x.tr AND y.ho) OR (x.ho AND y.tr) AS leak FROM pair p JOIN side x ON x.family = p.family AND x.taxon = p.taxon AND x.sequence_sha256 = p.a JOIN side y ON y.family = p.family AND y.taxon = p.taxon AND y.sequence_sha256 = p.b WHERE differences <= floor((1 - 0.9) * n + 1e-10))
-    SELECT count(*) AS n_edges, count(*) FILTER (leak) AS n_leaking, round(max(1 - differences / n), 6) + 0.0 AS closest FROM e""",
-)
+def homology_audit(records: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """One row of each threshold: the graph whose nodes are records and whose edges are pairs of records (copies
+    included) with equally long sequences and that identity or more, over all strata.
+
+    Nodes and edges are counted from distinct sequences and their numbers of records; copies are never paired."""
+    scratch = Scratch(records.sparkSession, "audit")
+    records = scratch.write(records.select(*BLOCK, "cohort", "sequence_sha256", "rna"), "records")
+    n = F.count("*").cast("long")
+    nodes = records.groupBy(F.col("sequence_sha256").alias("s")).agg(n.alias("k"), F.count_if(F.col("cohort") == "holdout").alias("ho"))
+    nodes = scratch.write(nodes, "nodes")
+    strata = scratch.write(records.groupBy(F.col("sequence_sha256").alias("s"), *BLOCK).agg(n.alias("k")), "strata")
+    least = min(thresholds)
+    near = scratch.write(similar_pairs(records, least, []), "near")
+    both = near.join(nodes.toDF("a", "ka", "ha"), "a").join(nodes.toDF("b", "kb", "hb"), "b")
+    same = near.join(strata.toDF("a", *BLOCK, "xa"), "a").join(strata.toDF("b", *BLOCK, "xb"), ["b", *BLOCK]).groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("inside"))
+    both = both.join(same, ["a", "b"], "left").fillna(0, ["inside"])
+    both = scratch.write(both.withColumn("cross", F.col("ha") * (F.col("kb") - F.col("hb")) + F.col("hb") * (F.col("ka") - F.col("ha"))), "edges")
+
+    half = lambda x: F.sum(x * (x - 1)) / 2
+    copies = nodes.agg(
+        F.coalesce(F.sum("k"), F.lit(0)).alias("n_nodes"), F.coalesce(half(F.col("k")), F.lit(0)).alias("copy_edges"), F.coalesce(F.sum(F.col("ho") * (F.col("k") - F.col("ho"))), F.lit(0)).alias("copy_leaks")
+    )
+    inside = strata.agg(F.coalesce(half(F.col("k")), F.lit(0)).alias("copy_inside"))
+    out = None
+    for t in thresholds:
+        e = both.where(F.col("differences") <= F.floor((1 - F.lit(t)) * F.col("n") + 1e-10))
+        edges = e.agg(
+            F.coalesce(F.sum(F.col("ka") * F.col("kb")), F.lit(0)).alias("pairs"),
+            F.coalesce(F.sum("cross"), F.lit(0)).alias("leaks"),
+            F.coalesce(F.sum("inside"), F.lit(0)).alias("inside"),
+            F.coalesce(F.max(F.when(F.col("cross") > 0, 1 - F.col("differences") / F.col("n"))), F.lit(0.0)).alias("closest"),
+        )
+        ends = e.select(F.col("a").alias("s"), F.col("kb").alias("d")).unionByName(e.select(F.col("b").alias("s"), F.col("ka").alias("d")))
+        degree = nodes.join(ends.groupBy("s").agg(F.sum("d").alias("d")), "s", "left").select((F.col("k") - 1 + F.coalesce("d", F.lit(0))).alias("degree"))
+        degrees = degree.agg(F.coalesce(F.max("degree"), F.lit(0)).alias("max_degree"), F.count_if(F.col("degree") == 0).alias("n_isolated"))
+        parts = connected_components(e, "a", "b")
+        sizes = nodes.join(parts.withColumnRenamed("node", "s"), "s", "left").groupBy(F.coalesce("component", "s")).agg(F.sum("k").alias("size"))
+        sizes = sizes.agg(n.alias("n_components"), F.coalesce(F.max("size"), F.lit(0)).alias("max_component"))
+        row = copies.crossJoin(inside).crossJoin(edges).crossJoin(degrees).crossJoin(sizes)  # one row each
+        all_edges = F.col("pairs") + F.col("copy_edges")
+        row = row.select(
+            F.lit(t).alias("threshold"),
+            "n_nodes",
+            all_edges.cast("long").alias("n_edges"),
+            "n_components",
+            (F.col("leaks") + F.col("copy_leaks")).cast("long").alias("n_leaking"),
+            (all_edges - F.col("inside") - F.col("copy_inside")).cast("long").alias("n_cross_stratum"),
+            "max_component",
+            r6(F.when(F.col("n_components") > 0, F.col("n_nodes") / F.col("n_components")).otherwise(0.0)).alias("mean_component"),
+            "max_degree",
+            "n_isolated",
+            r6(F.when(F.col("copy_leaks") > 0, 1.0).otherwise(F.col("closest"))).alias("closest_leak"),
+            ((F.col("leaks") + F.col("copy_leaks")) > 0).alias("warns"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _audit_sql(t: float) -> str:
+    return f"""SELECT * FROM (WITH RECURSIVE {fragments_sql(LONG_FRAGMENT)}, u AS (SELECT sequence_sha256 AS s, any_value(rna) AS rna, length(any_value(rna)) AS n, count(*) AS k, count(*) FILTER (cohort = 'holdout') AS ho FROM frag GROUP BY 1),
+st AS (SELECT sequence_sha256 AS s, family, taxon, count(*) AS k FROM frag GROUP BY ALL),
+pair AS (SELECT a.s AS a, b.s AS b, a.n, hamming(a.rna, b.rna) AS d, a.k AS ka, b.k AS kb, a.ho * (b.k - b.ho) + b.ho * (a.k - a.ho) AS x FROM u a JOIN u b ON a.n = b.n AND a.s < b.s AND hamming(a.rna, b.rna) <= floor((1 - {t}) * a.n + 1e-10)),
+ends AS (SELECT a AS s, b AS o, kb AS d FROM pair UNION ALL SELECT b, a, ka FROM pair),
+reach AS (SELECT DISTINCT s AS node, s AS root FROM ends UNION SELECT e.o, r.root FROM reach r JOIN ends e ON r.node = e.s),
+part AS (SELECT u.k, coalesce(m.root, u.s) AS c FROM u LEFT JOIN (SELECT node, min(root) AS root FROM reach GROUP BY 1) m ON m.node = u.s),
+size AS (SELECT c, sum(k) AS size FROM part GROUP BY c),
+deg AS (SELECT u.k - 1 + coalesce(sum(d), 0) AS degree FROM u LEFT JOIN ends USING (s) GROUP BY u.s, u.k),
+same AS (SELECT coalesce(sum(x.k * y.k), 0) AS inside FROM pair p JOIN st x ON x.s = p.a JOIN st y ON y.s = p.b AND y.family = x.family AND y.taxon = x.taxon),
+v AS (SELECT (SELECT coalesce(sum(k), 0) FROM u) AS n_nodes, (SELECT coalesce(sum(ka * kb), 0) FROM pair) + (SELECT coalesce(sum(k * (k - 1) // 2), 0) FROM u) AS n_edges,
+  (SELECT coalesce(sum(x), 0) FROM pair) AS leaks, (SELECT coalesce(sum(ho * (k - ho)), 0) FROM u) AS copy_leaks, (SELECT count(*) FROM size) AS n_components)
+SELECT CAST({t} AS DOUBLE) AS threshold, CAST(n_nodes AS BIGINT) AS n_nodes, CAST(n_edges AS BIGINT) AS n_edges, n_components, CAST(leaks + copy_leaks AS BIGINT) AS n_leaking,
+  CAST(n_edges - (SELECT inside FROM same) - (SELECT coalesce(sum(k * (k - 1) // 2), 0) FROM st) AS BIGINT) AS n_cross_stratum, CAST((SELECT coalesce(max(size), 0) FROM size) AS BIGINT) AS max_component,
+  round(n_nodes / n_components, 6) + 0.0 AS mean_component, CAST((SELECT coalesce(max(degree), 0) FROM deg) AS BIGINT) AS max_degree, (SELECT count(*) FROM deg WHERE degree = 0) AS n_isolated,
+  round(CASE WHEN copy_leaks > 0 THEN 1.0 ELSE coalesce((SELECT max(1 - d / n) FROM pair WHERE x > 0), 0) END, 6) + 0.0 AS closest_leak, leaks + copy_leaks > 0 AS warns FROM v)"""
+
+
+@query("G3_homology_audit", " UNION ALL ".join(map(_audit_sql, THRESHOLDS)))
 def g3(spark: SparkSession, sf: str) -> DataFrame:
-    """Edges between cohorts: the leakage that exact keys do not show."""
-    records = cds(spark, sf)
-    side = records.groupBy(*BLOCK, "sequence_sha256").agg(F.bool_or(F.col("cohort") == "training").alias("tr"), F.bool_or(F.col("cohort") == "holdout").alias("ho"))
-    edges = similar_pairs(records, 0.9).join(side.toDF(*BLOCK, "a", "tra", "hoa"), [*BLOCK, "a"]).join(side.toDF(*BLOCK, "b", "trb", "hob"), [*BLOCK, "b"])
-    leak = (F.col("tra") & F.col("hob")) | (F.col("hoa") & F.col("trb"))
-    return edges.agg(F.count("*").alias("n_edges"), F.count_if(leak).alias("n_leaking"), r6(F.max(1 - F.col("differences") / F.col("n"))).alias("closest"))
+    """Edges between cohorts are the leakage that exact keys do not show."""
+    return homology_audit(fragments(spark, sf, LONG_FRAGMENT))
 
 
 @query(
     "G6_leakage_profile",
-    f"""WITH {_PAIRS}, tr AS (SELECT DISTINCT family, taxon, sequence_sha256 FROM cds WHERE cohort = 'training'), e AS (SELECT family, taxon, a AS s, b AS t, 1 - differences / n AS i FROM pair WHERE differences <= floor((1 - 0.9) * n + 1e-10) UNION ALL SELECT family, taxon, b, a, 1 - differences / n FROM pair WHERE differences <= floor((1 - 0.9) * n + 1e-10)),
+    f"""WITH {_PAIRS}, tr AS (SELECT DISTINCT family, taxon, sequence_sha256 FROM frag WHERE cohort = 'training'), near AS (SELECT * FROM pair WHERE differences <= floor((1 - 0.9) * n + 1e-10)),
+    e AS (SELECT family, taxon, a AS s, b AS t, 1 - differences / n AS i FROM near UNION ALL SELECT family, taxon, b, a, 1 - differences / n FROM near),
     best AS (SELECT e.family, e.taxon, s, max(i) AS i FROM e JOIN tr ON tr.family = e.family AND tr.taxon = e.taxon AND tr.sequence_sha256 = t GROUP BY ALL)
-    SELECT c.doc_id, x.sequence_sha256 IS NOT NULL AS exact, round(CASE WHEN x.sequence_sha256 IS NOT NULL THEN 1 ELSE i END, 6) + 0.0 AS identity FROM cds c LEFT JOIN tr x ON x.family = c.family AND x.taxon = c.taxon AND x.sequence_sha256 = c.sequence_sha256
-    LEFT JOIN best b ON b.family = c.family AND b.taxon = c.taxon AND b.s = c.sequence_sha256 WHERE c.cohort = 'holdout'""",
+    SELECT c.doc_id, count(*) AS n, count(x.sequence_sha256) AS n_exact, count(CASE WHEN x.sequence_sha256 IS NULL THEN i END) AS n_near, round(max(CASE WHEN x.sequence_sha256 IS NOT NULL THEN 1 ELSE i END), 6) + 0.0 AS identity
+    FROM frag c LEFT JOIN tr x ON x.family = c.family AND x.taxon = c.taxon AND x.sequence_sha256 = c.sequence_sha256
+    LEFT JOIN best b ON b.family = c.family AND b.taxon = c.taxon AND b.s = c.sequence_sha256 WHERE c.cohort = 'holdout' GROUP BY c.doc_id""",
 )
 def g6(spark: SparkSession, sf: str) -> DataFrame:
-    """Each holdout record's nearest training sequence of its stratum at 0.9 or more; null if none is."""
-    records = cds(spark, sf)
+    """Of each holdout record: fragments, those that training of its stratum has exactly, or else at 0.9 or more, and the
+    highest identity; null if none is near."""
+    records = Scratch(spark, "fragments").write(fragments(spark, sf, FRAGMENT), "records")
     known = records.where("cohort = 'training'").select(*BLOCK, "sequence_sha256").distinct()
     near = similar_pairs(records, 0.9).withColumn("i", 1 - F.col("differences") / F.col("n"))
     both = near.select(*BLOCK, F.col("a").alias("s"), F.col("b").alias("sequence_sha256"), "i").unionByName(near.select(*BLOCK, F.col("b").alias("s"), F.col("a").alias("sequence_sha256"), "i"))
     best = both.join(known, [*BLOCK, "sequence_sha256"], "left_semi").groupBy(*BLOCK, F.col("s").alias("sequence_sha256")).agg(F.max("i").alias("i"))
-    rows = records.where("cohort = 'holdout'").select("doc_id", *BLOCK, "sequence_sha256")
-    rows = rows.join(known.withColumn("exact", F.lit(True)), [*BLOCK, "sequence_sha256"], "left").join(best, [*BLOCK, "sequence_sha256"], "left")
-    return rows.select("doc_id", F.coalesce("exact", F.lit(False)).alias("exact"), r6(F.when(F.col("exact"), 1.0).otherwise(F.col("i"))).alias("identity"))
+    asked = records.where("cohort = 'holdout'").groupBy("doc_id", *BLOCK, "sequence_sha256").agg(F.count("*").alias("k"))
+    rows = asked.join(known.withColumn("exact", F.lit(1)), [*BLOCK, "sequence_sha256"], "left").join(best, [*BLOCK, "sequence_sha256"], "left")
+    exact = F.col("exact").isNotNull()
+    return rows.groupBy("doc_id").agg(
+        F.sum("k").alias("n"),
+        F.sum(F.when(exact, F.col("k")).otherwise(0)).alias("n_exact"),
+        F.sum(F.when(~exact & F.col("i").isNotNull(), F.col("k")).otherwise(0)).alias("n_near"),
+        r6(F.max(F.when(exact, 1.0).otherwise(F.col("i")))).alias("identity"),
+    )
 
 
 #: Chances of a Poisson count of mean one: below the k-th bound a unit is drawn k times.
