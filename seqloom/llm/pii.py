@@ -51,6 +51,8 @@ LABELS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"
 #: Stands in place of base spans when terms are looked for: a letter, so that what touches it is no whole run.
 FILLER = "\u2e2f"
 TERM = rf"(?<![\p{{L}}\p{{N}}])[\p{{L}}\p{{N}}&&[^{FILLER}]]{{3,}}+(?!{FILLER})"
+#: The same in a text without FILLER, where a run can only begin at its start.
+RAW_TERM = r"[\p{L}\p{N}]{3,}+"
 CHUNK = 256
 GENERALISE, REMOVE = 0.8, 0.95
 
@@ -150,9 +152,9 @@ def base_spans(text: F.Column) -> F.Column:
     return F.array_sort(F.concat(*[_of_kind(text, k) for k in KINDS]))
 
 
-def _terms(text: F.Column) -> F.Column:
+def _terms(text: F.Column, pattern: str = TERM) -> F.Column:
     """Distinct lower-cased terms."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lower))
 
 
 def _masked(text: F.Column, base: F.Column) -> F.Column:
@@ -195,7 +197,7 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     found = scratch.write(found.withColumns({"row_key": F.when(some, row_key(id_col, "text")), "masked": F.when(some, _masked(F.col("text"), F.col("base")))}), "base")
     held, total = found.where(some), F.lit(float(max(found.count(), 2)))
 
-    forms = rows.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    forms = rows.select(F.explode(_terms(F.col("text"), RAW_TERM)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     forms = scratch.write(forms, "forms")
     mine = held.select("row", F.explode("entities").alias("entity"))
     chance = F.least(F.lit(1.0), F.col("n_entity") / total)
