@@ -5,6 +5,7 @@ All are small constants of a fixed size, so they may become literals or broadcas
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
@@ -179,7 +180,11 @@ def values_sql(name: str, columns: str, rows: list[tuple]) -> str:
     return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + ")"
 
 
+def gc_sql(tables: Iterable[int]) -> str:
+    return values_sql("gc", "translation_table, codon, aa, is_start, is_stop", [(t, c, a, c in starts(t), c in stops(t)) for t in tables for c, a in code_map(t).items()])
+
+
 #: Codes 1 and 2, usage weights, and the vocabulary as CTEs.
-GC_SQL = values_sql("gc", "translation_table, codon, aa, is_start, is_stop", [(t, c, a, c in starts(t), c in stops(t)) for t in (1, 2) for c, a in code_map(t).items()])
+GC_SQL = gc_sql((1, 2))
 USAGE_SQL = values_sql("usage", "codon, rscu, copies", [(c, RSCU[c], TRNA[c]) for c in sorted(RSCU)])
 VOCABULARY_SQL = values_sql("vocab", "id, codon", list(enumerate(CODONS)))

@@ -13,9 +13,10 @@ from ..functions import codes
 from ..functions.sequence import codons, log_frame_loss, r6
 from ..registry import query
 from ..sources.views import CDS_SQL, CODONS_SQL, cds, positions, table
+from .design import case_regions
 from .language_models import _MODELS, argmax_chain, fit_bigram, fit_unigram
 from .profiles import weighted_mean
-from .sampling import pairs
+from .sampling import _ANCHOR, anchors, pairs
 
 
 def check_receipts(receipts: DataFrame, actual: DataFrame, name: str, digest: str) -> DataFrame:
@@ -107,24 +108,28 @@ def w13(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def candidate_banks(cases: DataFrame, *identity: str) -> DataFrame:
-    """(bank_key, n_cases, first_case, n_suffixes): cases that can share one bank of candidates.
+    """(bank_key, n_cases, first_case, n_suffixes, guarded): cases that can share one bank of candidates.
 
-    The key is a digest of what generation sees; what follows the gap is no part of it."""
+    The key is a digest of the bank's identity; what follows the gap is no part of it. A bank is guarded if all its
+    cases have one prefix, so that its candidates hold for each of them. The prefix is left context of a fixed size."""
     key = F.sha2(F.concat_ws("|", *identity), 256).alias("bank_key")
-    return cases.select(key, "doc_id", "suffix").groupBy("bank_key").agg(
-        F.count("*").alias("n_cases"), F.min("doc_id").alias("first_case"), F.countDistinct("suffix").alias("n_suffixes")
+    return cases.select(key, "doc_id", "prefix", "suffix").groupBy("bank_key").agg(
+        F.count("*").alias("n_cases"), F.min("doc_id").alias("first_case"), F.countDistinct("suffix").alias("n_suffixes"), (F.min("prefix") == F.max("prefix")).alias("guarded")
     )
 
 
 @query(
     "L11_candidate_banks",
-    f"""WITH {CDS_SQL} SELECT sha256(family || '|' || substr(rna, 1, 6) || '|' || 'gap4') AS bank_key, count(*) AS n_cases, min(doc_id) AS first_case, count(DISTINCT substr(rna, 19, 6)) AS n_suffixes
-    FROM cds WHERE family IS NOT NULL GROUP BY 1""",
+    f"""WITH {_ANCHOR}, c AS (SELECT doc_id, sequence_sha256, start, substr(rna, 3 * start - 11, 12) AS prefix, substr(rna, 3 * start + 13, 3 * n) AS suffix FROM cds JOIN anchor USING (doc_id) CROSS JOIN (VALUES (2), (6)) v(n))
+    SELECT sha256(sequence_sha256 || '|' || start || '|4|4') AS bank_key, count(*) AS n_cases, min(doc_id) AS first_case, count(DISTINCT suffix) AS n_suffixes, min(prefix) = max(prefix) AS guarded FROM c GROUP BY 1""",
 )
 def l11(spark: SparkSession, sf: str) -> DataFrame:
-    """Gaps of four codons after two: the bank key is the family, the prefix and the gap's length."""
-    cases = cds(spark, sf).where("family IS NOT NULL").select("doc_id", "family", F.substring("rna", 1, 6).alias("prefix"), F.lit("gap4").alias("gap"), F.substring("rna", 19, 6).alias("suffix"))
-    return candidate_banks(cases, "family", "prefix", "gap")
+    """Gaps of four codons at each record's anchor, after four and before two or six: the bank's identity is
+    sequence, anchor, gap and left context, so both suffixes, and copies of a record, share it."""
+    records = cds(spark, sf)
+    found = case_regions(records, anchors(records, gap=4, left=4), 4, 4, 6, "sequence_sha256").withColumns({"gap": F.lit("4"), "left": F.lit("4")})
+    cases = found.withColumn("suffix", F.explode(F.array(F.substring("suffix", 1, 6), F.col("suffix"))))
+    return candidate_banks(cases, "sequence_sha256", "start", "gap", "left")
 
 
 def scored(records: DataFrame, unigram: DataFrame, bigram: DataFrame, *keep: str) -> DataFrame:

@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..functions import sequence as S
 from ..registry import query
-from ..sources.views import CDS_SQL, CODONS_SQL, cds
+from ..sources.views import CDS_SQL, CODONS_SQL, cds, table
 from .sampling import _ANCHOR, anchors
 
 
-def case_regions(records: DataFrame, chosen: DataFrame, gap: int, left: int, right: int) -> DataFrame:
-    """(doc_id, case_id, start, prefix, truth, suffix): the bases before, in and after each chosen gap."""
+def case_regions(records: DataFrame, chosen: DataFrame, gap: int, left: int, right: int, *keep: str) -> DataFrame:
+    """(doc_id, keep, case_id, start, prefix, truth, suffix): the bases before, in and after each chosen gap."""
     rows = records.join(chosen.select("doc_id", "start"), "doc_id")
     at = 3 * F.col("start")
     rows = rows.select(
         "doc_id",
+        *keep,
         "start",
         F.substring("rna", at - 3 * left + 1, F.lit(3 * left)).alias("prefix"),
         F.substring("rna", at + 1, F.lit(3 * gap)).alias("truth"),
@@ -120,15 +121,22 @@ def s20(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "A28_order_chained_digest",
-    """WITH RECURSIVE o AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS k, user_id FROM events),
-    t AS (SELECT event_type, user_id, k, sha256('' || event_id) AS trace FROM o WHERE k = 1 UNION ALL SELECT o.event_type, o.user_id, o.k, sha256(t.trace || o.event_id) FROM t JOIN o ON o.event_type = t.event_type AND o.user_id = t.user_id AND o.k = t.k + 1)
-    SELECT event_type, user_id, arg_max(trace, k) AS trace, max(k) AS n FROM t GROUP BY ALL""",
+    """WITH RECURSIVE o AS (SELECT event_type, event_id, event_id // 1000 AS run, row_number() OVER (PARTITION BY event_type, user_id, event_id // 1000 ORDER BY event_id) AS k, user_id FROM events),
+    t AS (SELECT event_type, user_id, run, k, sha256('' || event_id) AS trace FROM o WHERE k = 1 UNION ALL SELECT o.event_type, o.user_id, o.run, o.k, sha256(t.trace || o.event_id) FROM t JOIN o ON o.event_type = t.event_type AND o.user_id = t.user_id AND o.run = t.run AND o.k = t.k + 1),
+    r AS (SELECT event_type, user_id, run, arg_max(trace, k) AS trace, max(k) AS n FROM t GROUP BY ALL),
+    s AS (SELECT event_type, user_id, run // 1000 AS run, sha256(string_agg(trace, '' ORDER BY run)) AS trace, sum(n) AS n FROM r GROUP BY ALL)
+    SELECT event_type, user_id, sha256(string_agg(trace, '' ORDER BY run)) AS trace, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY ALL""",
 )
 def a28(spark: SparkSession, sf: str) -> DataFrame:
-    """A digest over a user's events of a type in order. It is sequential by definition, so a group is
-    one array; groups are a user's events of one type."""
-    from ..sources.views import table
-
-    groups = table(spark, sf, "events").groupBy("event_type", "user_id").agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
-    trace = F.aggregate("ids", F.lit(""), lambda acc, x: F.sha2(F.concat(acc, x.cast("string")), 256))
-    return groups.select("event_type", "user_id", trace.alias("trace"), F.size("ids").cast("long").alias("n"))
+    """A digest over a user's events of a type in order of event_id: a chain over the events of each run of
+    1000 ids, then digests of a thousand runs' traces, then one of those. A single chain would need all events
+    of a hot user in one task; here no array is longer than a thousand events or runs, or a millionth of the ids."""
+    keys = ["event_type", "user_id"]
+    runs = table(spark, sf, "events").groupBy(*keys, F.expr("event_id div 1000").alias("run")).agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
+    chain = F.aggregate("ids", F.lit(""), lambda acc, x: F.sha2(F.concat(acc, x.cast("string")), 256))
+    traces = runs.select(*keys, "run", chain.alias("trace"), F.size("ids").cast("long").alias("n"))
+    for level in (F.expr("run div 1000"), F.lit(0)):
+        ordered = F.transform(F.sort_array(F.collect_list(F.struct("run", "trace"))), lambda x: x.trace)
+        traces = traces.groupBy(*keys, level.alias("above")).agg(F.sha2(F.array_join(ordered, ""), 256).alias("trace"), F.sum("n").alias("n"))
+        traces = traces.withColumnRenamed("above", "run")
+    return traces.drop("run")

@@ -16,7 +16,8 @@ from ..functions.codes import VOCABULARY_SQL
 from ..functions.sequence import codon_index, log_frame_loss, r6
 from ..registry import query
 from ..sources.views import CODONS_SQL, cds, codon_rows
-from .sampling import pairs
+from .design import case_regions
+from .sampling import anchor_sql, anchors, pairs
 
 PRIOR, CLASSES = 2.0, 64
 
@@ -195,25 +196,31 @@ def l8(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "L9_L10_rerank_and_recall",
-    f"""WITH {_BEAM}, h AS (SELECT doc_id, family, max(CASE WHEN pos = 0 THEN codon END) AS c0, max(CASE WHEN pos = 1 THEN codon END) AS c1, max(CASE WHEN pos = 2 THEN codon END) AS c2, max(CASE WHEN pos = 3 THEN codon END) AS c3 FROM codon WHERE cohort = 'holdout' GROUP BY ALL),
-    c AS (SELECT doc_id, family, path = c1 || c2 AS hit, CAST(path[1:3] = c1 AS INTEGER) + CAST(path[4:6] = c2 AS INTEGER) AS correct, row_number() OVER (PARTITION BY doc_id ORDER BY round(logp + ln(b.p), 9) DESC, path) AS place
-      FROM h JOIN b2 ON start = c0 JOIN bi b ON b.prev = last AND b.codon = c3 WHERE c3 IS NOT NULL)
+    f"""WITH {_BEAM}, {anchor_sql(gap=2, left=4)}, h AS (SELECT doc_id, family, substr(rna, 3 * start - 2, 3) AS c0, substr(rna, 3 * start + 1, 3) AS c1, substr(rna, 3 * start + 4, 3) AS c2, substr(rna, 3 * start + 7, 3) AS c3 FROM cds JOIN anchor USING (doc_id) WHERE cohort = 'holdout'),
+    c AS (SELECT doc_id, family, coalesce(path = c1 || c2, false) AS hit, coalesce(CAST(path[1:3] = c1 AS INTEGER) + CAST(path[4:6] = c2 AS INTEGER), 0) AS correct,
+        row_number() OVER (PARTITION BY doc_id ORDER BY round(logp + CASE WHEN c3 = '' THEN 0 ELSE coalesce(ln(b.p), ln(1 / 64)) END, 9) DESC, path) AS place
+      FROM h LEFT JOIN b2 ON start = c0 LEFT JOIN bi b ON b.prev = last AND b.codon = c3)
     SELECT family, count(DISTINCT doc_id) AS n, count(*) FILTER (hit) AS recalled, count(*) FILTER (hit AND place = 1) AS first_after_rerank, CAST(sum(best) AS BIGINT) AS correct_ceiling
     FROM (SELECT *, CASE WHEN place = 1 THEN max(correct) OVER (PARTITION BY doc_id) END AS best FROM c) GROUP BY family""",
 )
 def l9(spark: SparkSession, sf: str) -> DataFrame:
-    """Beam candidates for the codons after each holdout record's first one, ranked anew with the codon
-    that follows. Each record has eight candidates at most."""
+    """Beam candidates for a gap of two codons at each holdout record's anchor, ranked anew with what follows.
+
+    The models look one codon back: of the left context the last codon decides, of the right one the first, and
+    the codons beyond it add the same to every candidate's score. A case whose left codon was never seen before
+    another has no candidate and recalls nothing; nothing follows a gap at a record's end. Each case has eight
+    candidates at most."""
     records = cds(spark, sf)
     bigram = fit_bigram(records.where("cohort = 'training'"))
-    bank = F.broadcast(beam(bigram.select(F.col("prev").alias("start")).distinct(), bigram, 2, 8))
-    head = [F.substring("rna", 3 * k + 1, 3).alias(f"c{k}") for k in range(4)]
-    cases = records.where("cohort = 'holdout' AND length(rna) >= 12").select("doc_id", "family", *head)
-    rows = cases.join(bank, F.col("start") == F.col("c0"))
-    right = F.broadcast(bigram.select("prev", F.col("codon").alias("c3"), F.log("p").alias("lr")))
-    rows = rows.withColumn("prev", F.right("path", F.lit(3))).join(right, ["prev", "c3"])
-    rows = rows.withColumns({"hit": F.col("path") == F.concat("c1", "c2"), "correct": (F.substring("path", 1, 3) == F.col("c1")).cast("int") + (F.substring("path", 4, 3) == F.col("c2")).cast("int")})
-    best = F.max(F.struct(F.round(F.col("logp") + F.col("lr"), 9).alias("s"), (-F.conv(F.translate("path", "ACGU", "0123"), 4, 10).cast("long")).alias("o"), "hit"))
+    bank = F.broadcast(beam(bigram.select(F.col("prev").alias("start")).distinct(), bigram, 2, 8).withColumnRenamed("start", "prefix"))
+    holdout = records.where("cohort = 'holdout'")
+    cases = case_regions(holdout, anchors(holdout, gap=2, left=4), 2, 1, 1, "family").select("doc_id", "family", "prefix", "truth", "suffix")
+    right = F.broadcast(bigram.select(F.col("prev").alias("last"), F.col("codon").alias("suffix"), F.log("p").alias("lr")))
+    rows = cases.join(bank, "prefix", "left").withColumn("last", F.right("path", F.lit(3))).join(right, ["last", "suffix"], "left")
+    follows = F.when(F.col("suffix") == "", 0.0).otherwise(F.coalesce("lr", F.lit(-math.log(CLASSES))))
+    same = lambda at: (F.substring("path", at, 3) == F.substring("truth", at, 3)).cast("int")
+    rows = rows.withColumns({"hit": F.coalesce(F.col("path") == F.col("truth"), F.lit(False)), "correct": F.coalesce(same(1) + same(4), F.lit(0))})
+    best = F.max(F.struct(F.round(F.col("logp") + follows, 9).alias("s"), (-F.conv(F.translate("path", "ACGU", "0123"), 4, 10).cast("long")).alias("o"), "hit"))
     each = rows.groupBy("doc_id", "family").agg(F.bool_or("hit").alias("any"), best.alias("b"), F.max("correct").alias("most"))
     return each.groupBy("family").agg(F.count("*").alias("n"), F.count_if("any").alias("recalled"), F.count_if(F.col("b.hit")).alias("first_after_rerank"), F.sum("most").alias("correct_ceiling"))
 

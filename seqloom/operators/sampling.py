@@ -81,11 +81,13 @@ def w5(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def matched_views(rows: DataFrame, view: str, key: str, seed: int = SEED) -> DataFrame:
-    """Equally many distinct keys of each view: as many as the smallest has, by seeded rank."""
+    """Equally many distinct keys of each view: as many as the smallest has, by seeded rank. Ranks are
+    taken within 4096 ranges of the hash, so a view with most of the rows is never sorted in one task."""
     distinct = rows.select(view, key).distinct()
     common = distinct.groupBy(view).agg(F.count("*").alias("n")).agg(F.min("n").alias("common"))
-    place = F.row_number().over(Window.partitionBy(view).orderBy(S.text_rank(seed, F.col(view), F.col(key)), key))
-    return distinct.withColumn("place", place).join(F.broadcast(common)).where("place <= common").drop("common")
+    ranked = distinct.withColumn("rank", S.text_rank(seed, F.col(view), F.col(key)))
+    placed = positions(ranked, [view], F.substring("rank", 1, 3), ["rank", key])
+    return placed.withColumn("place", (F.col("pos") + 1).cast("int")).join(F.broadcast(common)).where("place <= common").select(view, key, "place")
 
 
 @query(
@@ -108,10 +110,15 @@ def anchors(records: DataFrame, gap: int, left: int, seed: int = SEED) -> DataFr
     return least.select("doc_id", "x.start", "x.rank")
 
 
-_ANCHOR = f"""{CDS_SQL}, s AS (SELECT doc_id, sequence_sha256, unnest(range(4, length(rna) // 3 - 4 + 1)) AS start FROM cds WHERE length(rna) // 3 >= 8),
+def anchor_sql(gap: int, left: int) -> str:
+    """The CTE anchor, over cds."""
+    return f"""s AS (SELECT doc_id, sequence_sha256, unnest(range({left}, length(rna) // 3 - {gap} + 1)) AS start FROM cds WHERE length(rna) // 3 >= {left + gap}),
 anchor AS (SELECT doc_id, CAST(arg_min(start, (h, start)) AS INTEGER) AS start, min(h) AS rank FROM (SELECT doc_id, start, sha256('{SEED}:' || sequence_sha256 || ':' || start) AS h FROM s) GROUP BY doc_id)"""
 
 
+_ANCHOR = f"{CDS_SQL}, {anchor_sql(gap=4, left=4)}"
+
+
 @query("W7_argmin_anchor", f"WITH {_ANCHOR} SELECT doc_id, start, rank FROM anchor")
 def w7(spark: SparkSession, sf: str) -> DataFrame:
     return anchors(cds(spark, sf), gap=4, left=4)

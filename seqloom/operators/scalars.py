@@ -139,15 +139,49 @@ def f19(spark: SparkSession, sf: str) -> DataFrame:
     return codes.vocabulary(spark)
 
 
+def extended_window(rna: F.Column, tis: F.Column, cds_length: F.Column, flank: int = 30, upstream: int = 6, downstream: int = 4) -> F.Column:
+    """Struct (kozak, extended, segments) of a transcript whose coding part starts at place `tis` (from 0).
+
+    Flanks are `flank` bases long, filled with A beyond the transcript's ends. Segments are a digit a base:
+    0 before the coding part, 1 in the Kozak window, 2 coding, 3 after it."""
+    before = F.lpad(F.right(F.left(rna, tis), F.lit(flank)), flank, "A")
+    after = F.rpad(F.substring(rna, tis + cds_length + 1, F.lit(flank)), flank, "A")
+    coding = F.substring(rna, tis + 1, cds_length)
+    started = F.least(F.lit(downstream), cds_length)
+    segments = F.concat(F.lit("0" * (flank - upstream) + "1" * upstream), F.repeat(F.lit("1"), started), F.repeat(F.lit("2"), cds_length - started), F.lit("3" * flank))
+    kozak = F.rpad(F.concat(F.right(before, F.lit(upstream)), F.substring(rna, tis + 1, F.lit(downstream))), upstream + downstream, "A")
+    return F.struct(kozak.alias("kozak"), F.concat(before, coding, after).alias("extended"), segments.alias("segments"))
+
+
+def downsample(track: F.Column) -> F.Column:
+    """The first of every three digits; an incomplete end is left out."""
+    return F.regexp_replace(F.substring(track, F.lit(1), F.length(track) - F.length(track) % 3), "(.)..", "$1")
+
+
+def _windows(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, tis, kozak, extended, segments): the coding part of a record runs from its first AUG (or base, without one)
+    to 30 bases before its end, or to the end of a record too short for that."""
+    tis = F.greatest(F.instr("rna", "AUG") - 1, F.lit(0))
+    rows = cds(spark, sf).select("doc_id", "rna", tis.alias("tis"))
+    rest = F.length("rna") - F.col("tis")
+    whole = F.expr("3 * int((length(rna) - tis - if(length(rna) - tis >= 33, 30, 0)) div 3)")
+    return rows.where(rest >= 3).withColumn("size", whole).select("doc_id", "tis", extended_window(F.col("rna"), F.col("tis"), F.col("size")).alias("w")).select("doc_id", "tis", "w.*")
+
+
+_WINDOW_SQL = f"""{CDS_SQL}, t AS (SELECT doc_id, rna, greatest(instr(rna, 'AUG') - 1, 0) AS tis FROM cds),
+z AS (SELECT *, 3 * ((length(rna) - tis - CASE WHEN length(rna) - tis >= 33 THEN 30 ELSE 0 END) // 3) AS size FROM t),
+w AS (SELECT doc_id, CAST(tis AS INTEGER) AS tis, rpad(lpad(substr(rna, greatest(tis - 6, 0) + 1, least(tis, 6)), 6, 'A') || substr(rna, tis + 1, 4), 10, 'A') AS kozak,
+  lpad(substr(rna, greatest(tis - 30, 0) + 1, least(tis, 30)), 30, 'A') || substr(rna, tis + 1, size) || rpad(substr(rna, tis + size + 1, 30), 30, 'A') AS extended,
+  repeat('0', 24) || repeat('1', 6 + least(4, size)) || repeat('2', size - least(4, size)) || repeat('3', 30) AS segments FROM z)"""
+
+
 @query(
     "F20_extended_window",
-    f"""WITH {CDS_SQL} SELECT doc_id, rpad(substr(rna, 1, 30), 30, 'A') AS head, lpad(substr(rna, greatest(1, length(rna) - 29)), 30, 'A') AS tail,
-      substr(repeat('A', 6) || rna, 1, 10) AS kozak FROM cds""",
+    f"WITH {_WINDOW_SQL} SELECT doc_id, tis, kozak, length(extended) AS n, md5(extended) AS extended_md5, md5(segments) AS segments_md5 FROM w",
 )
 def f20(spark: SparkSession, sf: str) -> DataFrame:
-    head = F.rpad(F.substring("rna", 1, 30), 30, "A")
-    tail = F.lpad(F.substring("rna", F.greatest(F.lit(1), F.length("rna") - 29), F.lit(30)), 30, "A")
-    return cds(spark, sf).select("doc_id", head.alias("head"), tail.alias("tail"), F.substring(F.concat(F.lit("A" * 6), "rna"), 1, 10).alias("kozak"))
+    w = _windows(spark, sf)
+    return w.select("doc_id", "tis", "kozak", F.length("extended").cast("long").alias("n"), F.md5("extended").alias("extended_md5"), F.md5("segments").alias("segments_md5"))
 
 
 @query(
@@ -282,10 +316,10 @@ def f32(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "F35_code_tables",
-    f"WITH {GC_SQL} SELECT CAST(translation_table AS INTEGER) AS translation_table, aa, count(*) AS n, string_agg(codon, ' ' ORDER BY codon) AS codons, count(*) FILTER (is_start) AS n_starts FROM gc GROUP BY ALL",
+    f"WITH {codes.gc_sql(codes.TABLES)} SELECT CAST(translation_table AS INTEGER) AS translation_table, aa, count(*) AS n, string_agg(codon, ' ' ORDER BY codon) AS codons, count(*) FILTER (is_start) AS n_starts FROM gc GROUP BY ALL",
 )
 def f35(spark: SparkSession, sf: str) -> DataFrame:
-    rows = codes.genetic_codes(spark).where(F.col("translation_table").isin(1, 2)).groupBy("translation_table", "aa")
+    rows = codes.genetic_codes(spark).groupBy("translation_table", "aa")
     return rows.agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("codon")), " ").alias("codons"), F.count_if("is_start").alias("n_starts"))
 
 
@@ -304,14 +338,14 @@ def f37(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "F23_codon_tracks",
-    f"""WITH {CODONS_SQL}, t AS (SELECT doc_id, pos, codon, max(pos) OVER (PARTITION BY doc_id) AS last FROM codon)
-    SELECT doc_id, string_agg(CASE WHEN pos = 0 THEN '1' WHEN pos = last THEN '3' ELSE '2' END, '' ORDER BY pos)[1:8] AS segments, count(*) AS n FROM t GROUP BY doc_id""",
+    f"""WITH {_WINDOW_SQL}, i AS (SELECT doc_id, segments, unnest(range(1, length(segments) - 1, 3)) AS i FROM w), c AS (SELECT doc_id, i, segments[i] AS segment FROM i)
+    SELECT doc_id, md5(string_agg(segment, '' ORDER BY i)) AS track_md5, count(*) AS n, count(*) FILTER (segment = '1') AS n_kozak, count(*) FILTER (segment = '2') AS n_coding FROM c GROUP BY doc_id""",
 )
 def f23(spark: SparkSession, sf: str) -> DataFrame:
-    """Segment of each codon (start 1, body 2, stop 3), taken from its first base."""
-    n = F.floor(F.length("rna") / 3).cast("int")
-    track = F.concat(F.lit("1"), F.expr("repeat('2', greatest(0, cast(length(rna) div 3 as int) - 2))"), F.lit("3"))
-    return cds(spark, sf).select("doc_id", F.substring(track, 1, 8).alias("segments"), n.cast("long").alias("n"))
+    """Segment of every codon of the whole window, taken from its first base."""
+    rows = _windows(spark, sf).select("doc_id", downsample(F.col("segments")).alias("track"))
+    count = lambda segment: F.length(F.regexp_replace("track", f"[^{segment}]", "")).cast("long")
+    return rows.select("doc_id", F.md5("track").alias("track_md5"), F.length("track").cast("long").alias("n"), count(1).alias("n_kozak"), count(2).alias("n_coding"))
 
 
 @query(

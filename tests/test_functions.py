@@ -1,5 +1,7 @@
 """Literal expectations of the column functions, gates and scores."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +181,22 @@ def test_pairs_match_brute_force(spark):
     found = {(r.a, r.b, r.differences) for r in similarity.similar_pairs(records(spark, [(s, "f", "t") for s in seqs]), 0.9).collect()}
     dist = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True))
     assert found == {(a, b, dist(a, b)) for a in seqs for b in seqs if a < b and dist(a, b) <= 6} and found
+
+
+def test_extended_window_fills_flanks_and_marks_every_base(spark):
+    from seqloom.operators.scalars import downsample, extended_window
+
+    rows = spark.createDataFrame([("CCAUGGCUUAAGG", 2, 9), ("AUG", 0, 3), (None, 0, 3)], "rna string, tis int, size int")
+    w = rows.select(extended_window(F.col("rna"), F.col("tis"), F.col("size"), flank=9).alias("w")).select("w.*", downsample(F.col("w.segments")).alias("track")).collect()
+    assert tuple(w[0]) == ("AAAACCAUGG", "AAAAAAACC" + "AUGGCUUAA" + "GGAAAAAAA", "000111111" + "111122222" + "333333333", "011112333")
+    assert tuple(w[1]) == ("AAAAAAAUGA", "A" * 9 + "AUG" + "A" * 9, "000111111" + "111" + "333333333", "0111333")
+    assert w[2].extended is None
+
+
+def test_matched_views_take_the_least_ranks_of_each_view(spark):
+    from seqloom.operators.sampling import matched_views
+
+    rows = spark.createDataFrame([("big", f"k{i}") for i in range(300)] * 2 + [("small", f"k{i}") for i in range(7)], "view string, key string")
+    found = matched_views(rows, "view", "key").collect()
+    ranked = {v: sorted({k for w, k in map(tuple, rows.collect()) if w == v}, key=lambda k: hashlib.sha256(f"17:{v}:{k}".encode()).hexdigest())[:7] for v in ("big", "small")}
+    assert sorted(map(tuple, found)) == sorted((v, k, n + 1) for v, ks in ranked.items() for n, k in enumerate(ks))

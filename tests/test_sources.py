@@ -144,6 +144,7 @@ def test_first_error_and_banks(spark):
     texts = spark.createDataFrame([("acgtnnACGa",), ("",), (None,)], "t string")
     assert [r[0] for r in texts.select(lenient_codons(F.col("t"))).collect()] == [["ACG", "ACG"], [], None]
     cases = spark.createDataFrame([(1, "x", "s"), (2, "x", "t"), (3, "y", "s")], "doc_id long, prefix string, suffix string")
-    assert sorted(tuple(r)[1:] for r in candidate_banks(cases, "prefix").collect()) == [(1, 3, 1), (2, 1, 2)]
+    assert sorted(tuple(r)[1:] for r in candidate_banks(cases, "prefix").collect()) == [(1, 3, 1, True), (2, 1, 2, True)]
+    assert [r.guarded for r in candidate_banks(cases.withColumn("gap", F.lit("4")), "gap").collect()] == [False]  # one bank for different prefixes
     losses = spark.createDataFrame([("big", 8.0, 8), ("big", 8.0, 8), ("small", 6.0, 2)], "f string, l double, n long")
     assert tuple(family_macro(losses, "f", "l", "n").first()) == (2, round(22 / 18, 6), 2.0)
