@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pii, quality, simhash, substring_dedup, topk, toxicity, url_filter, warc
+from . import decontaminate, fill_in_middle, merkle, mixing, pii, quality, simhash, substring_dedup, topk, toxicity, url_filter, warc
 from ..plans.storage import Scratch
 from ..registry import whole
 from .sentencepiece_bpe import digests, sentencepiece_encode
@@ -74,6 +74,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    # tampering: one more character is claimed where 7 divides the id's CRC-32
+    more = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, 1).otherwise(0)
+    claims = {"n_chars": F.col("n_chars").cast("decimal(20,0)") + more}
+    return merkle.digests(merkle.verified(merkle.manifest(table(spark, sf_dir, "documents"), "doc_id", "lang", columns, claims)))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: whole(f)
@@ -88,6 +104,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_url_filter,
             op9_simhash,
             op10_toxicity,
+            op11_merkle,
+            op12_fill_in_middle,
+            op13_mixing,
         )
     }
 
@@ -106,4 +125,4 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.SQL, "op4_topk": TOPK_SQL, "op5_warc": warc.SQL, "op8_url_filter": url_filter.SQL}
+    return {"op2_decontaminate": decontaminate.SQL, "op4_topk": TOPK_SQL, "op5_warc": warc.SQL, "op8_url_filter": url_filter.SQL, "op11_merkle": merkle.SQL, "op12_fill_in_middle": fill_in_middle.SQL, "op13_mixing": mixing.SQL}
