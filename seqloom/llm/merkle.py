@@ -1,7 +1,7 @@
 """Merkle manifest of a table: a leaf for each row, a tree for each group, a tree over the groups, a proof for each leaf.
 
 A run of two nodes (the last one of a level may be single) becomes their hash, until one node remains. Leaves of a
-group are cut into blocks of 2**HEIGHT, aligned, so that a block's root is a node of the group's tree. Blocks of a
+group are cut into aligned blocks of a power of two, so that a block's root is a node of the group's tree. Blocks of a
 few thousand nodes together go to a task as Arrow tables, where DuckDB climbs them level by level, each level one
 query of ordered string_agg and sha256. Blocks' roots are the nodes of the next round, which Spark deals out in
 the same way, until each group has one root; the groups' roots are one more such tree. Then the rounds are run
@@ -50,7 +50,7 @@ def _climb(con, nodes: pa.Table) -> int:
     one held (lefts, rights); the number of the last level."""
     con.register("nodes", nodes)
     con.execute("CREATE TABLE level_0 AS SELECT grp, block, pos, h, height, NULL::VARCHAR AS lefts, NULL::VARCHAR AS rights FROM nodes")
-    top = con.execute("SELECT coalesce(max(height), 0) FROM level_0").fetchone()[0]
+    top = con.execute("SELECT coalesce(max(height), 0) FROM level_0").fetchall()[0][0]
     for k in range(top):
         con.execute(
             f"""CREATE TABLE level_{k + 1} AS
@@ -68,7 +68,7 @@ def _block_roots(nodes: pa.Table) -> pa.Table:
         return con.sql(every).to_arrow_table().cast(pa.schema([("grp", pa.string()), ("block", pa.int64()), ("h", pa.string())]))
 
 
-def _block_proofs(carried: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _block_proofs(carried: list[str], height: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def proofs(nodes: pa.Table, above: pa.Table) -> pa.Table:
         schema = pa.schema([("grp", pa.string()), ("pos", pa.int64()), ("h", pa.string()), *[nodes.schema.field(c) for c in carried], ("subroot", pa.string()), ("proof", _PROOF)])
         with _engine() as con:
@@ -84,7 +84,7 @@ def _block_proofs(carried: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table
                     WHERE n.height > {k}
                     UNION ALL SELECT n.grp, n.block, n.pos, a.subroot, a.proof FROM level_{k} n JOIN above a ON a.grp = n.grp AND a.block = n.block WHERE n.height = {k}"""
                 )
-            names = ", ".join(["n.grp", f"n.block * {2**HEIGHT} + n.pos AS pos", "n.h", *[f'n."{c}"' for c in carried], "d.subroot", "d.proof"])
+            names = ", ".join(["n.grp", f"n.block * {2**height} + n.pos AS pos", "n.h", *[f'n."{c}"' for c in carried], "d.subroot", "d.proof"])
             found = con.sql(f"SELECT {names} FROM nodes n JOIN down_0 d ON d.grp = n.grp AND d.block = n.block AND d.pos = n.pos").to_arrow_table()
         return found.cast(schema)
 
@@ -98,15 +98,16 @@ def _packed(nodes: DataFrame, packs: int) -> DataFrame:
 class _Round:
     """Nodes (grp, pos, h, ...) of every group that has not come to one node yet, and what their blocks give."""
 
-    def __init__(self, nodes: DataFrame, scratch: Scratch, name: str):
+    def __init__(self, nodes: DataFrame, height: int, pack: int, scratch: Scratch, name: str):
+        self.height, wide = height, 2**height
         size = F.count("*").alias("n")
         counts = scratch.write(nodes.groupBy("grp").agg(size), f"{name}-counts")
         self.total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        self.packs = max(1, -(-self.total // PACK))
-        height = F.when(F.col("n") > 2**HEIGHT, HEIGHT).otherwise(F.ceil(F.log2("n"))).cast("int")
-        rows = nodes.join(counts, "grp").withColumns({"height": height, "block": F.expr(f"pos div {2**HEIGHT}"), "pos": F.col("pos") % 2**HEIGHT})
+        self.packs = max(1, -(-self.total // pack))
+        levels = F.when(F.col("n") > wide, height).otherwise(F.ceil(F.log2("n"))).cast("int")
+        rows = nodes.join(counts, "grp").withColumns({"height": levels, "block": F.expr(f"pos div {wide}"), "pos": F.col("pos") % wide})
         self.nodes = _packed(rows, self.packs)
-        self.more = counts.where(F.col("n") > 2**HEIGHT)
+        self.more = counts.where(F.col("n") > wide)
         roots = self.nodes.select("pack", "grp", "block", "pos", "h", "height").groupBy("pack").applyInArrow(_block_roots, _ROOTS)
         self.roots = scratch.write(roots.join(self.more.select("grp", F.lit(True).alias("goes_on")), "grp", "left"), f"{name}-roots")
 
@@ -117,12 +118,12 @@ class _Round:
         return self.roots.where("goes_on").select("grp", F.col("block").alias("pos"), "h")
 
 
-def _climbed(nodes: DataFrame, scratch: Scratch, name: str) -> tuple[list[_Round], DataFrame]:
+def _climbed(nodes: DataFrame, height: int, pack: int, scratch: Scratch, name: str) -> tuple[list[_Round], DataFrame]:
     """The rounds, and (grp, h): the root of each group."""
-    rounds = [_Round(nodes, scratch, f"{name}-0")]
+    rounds = [_Round(nodes, height, pack, scratch, f"{name}-0")]
     roots = rounds[0].ended()
     while rounds[-1].more.limit(1).count():
-        rounds.append(_Round(rounds[-1].onward(), scratch, f"{name}-{len(rounds)}"))
+        rounds.append(_Round(rounds[-1].onward(), height, pack, scratch, f"{name}-{len(rounds)}"))
         roots = roots.unionByName(rounds[-1].ended())
     return rounds, roots
 
@@ -137,16 +138,18 @@ def _descended(rounds: list[_Round], tops: DataFrame, carried: list[str], scratc
         types = {f.name: f.dataType.simpleString() for f in here.nodes.schema}
         schema = ", ".join(["grp string", "pos long", "h string", *[f"`{c}` {types[c]}" for c in keep], "subroot string", f"proof {PROOF}"])
         nodes = here.nodes.select("pack", "grp", "block", "pos", "h", "height", *keep)
-        above = nodes.groupBy("pack").cogroup(_packed(over, here.packs).groupBy("pack")).applyInArrow(_block_proofs(keep), schema)
+        above = nodes.groupBy("pack").cogroup(_packed(over, here.packs).groupBy("pack")).applyInArrow(_block_proofs(keep, here.height), schema)
         if k:
             above = scratch.write(above, f"{name}-proofs-{k}")
     return above
 
 
-def manifest(df: DataFrame, id_col: str, group_col: str, columns: list[str], claims: dict[str, F.Column] | None = None) -> DataFrame:
+def manifest(
+    df: DataFrame, id_col: str, group_col: str, columns: list[str], claims: dict[str, F.Column] | None = None, height: int = HEIGHT, pack: int = PACK
+) -> DataFrame:
     """(id_col, leaf, claimed, subroot, root, proof) of every row of df. A leaf is the hash of `columns`. `claims` gives
     values that someone claims for some columns; claimed is the leaf of the row with them, null where it is the same.
-    proof: for each level from the leaf to the root, the sibling's hash (null: the node is alone) and its side."""
+    Blocks have 2**height leaves, a task about `pack` of them. proof: for each level from the leaf to the root, the sibling's hash (null: the node is alone) and its side."""
     scratch = Scratch(df.sparkSession, "merkle")
     values = {c: F.col(f"`{c}`") for c in columns}
     leaf, claimed = leaf_hash(list(values.values())), leaf_hash(list((values | (claims or {})).values()))
@@ -158,10 +161,10 @@ def manifest(df: DataFrame, id_col: str, group_col: str, columns: list[str], cla
     leaves = df.select(key.alias("grp"), F.col(f"`{id_col}`").alias("id"), leaf.alias("h"), F.when(differs, claimed).alias("claimed"))
     leaves = places(leaves, ["grp"], ["id", "h"], scratch, "leaves").withColumnRenamed("place", "pos")
     leaves = scratch.write(leaves, "nodes")
-    rounds, subroots = _climbed(leaves, scratch, "groups")
+    rounds, subroots = _climbed(leaves, height, pack, scratch, "groups")
     groups = scratch.write(subroots.withColumnRenamed("grp", "name"), "subroots")
     ranked = places(groups, [], ["name"], scratch, "ranked").select(F.lit("").alias("grp"), F.col("place").alias("pos"), "h", "name")
-    upper, roots = _climbed(scratch.write(ranked, "top"), scratch, "top")
+    upper, roots = _climbed(scratch.write(ranked, "top"), height, pack, scratch, "top")
     root = roots.first()
     root = root.h if root else None
     top = roots.select("grp", F.col("h").alias("subroot"), F.array().cast(PROOF).alias("proof"))
