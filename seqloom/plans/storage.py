@@ -6,11 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Lists that new Scratch folders are entered in, innermost last.
-_RECORDS: list[list[Scratch]] = []
+#: The list that new Scratch folders of this thread (or task) are entered in; None: they are nobody's to delete.
+_OWNER: ContextVar[list[Scratch] | None] = ContextVar("owner", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,8 +37,9 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.tables: list[str] = []
-        if _RECORDS:
-            _RECORDS[-1].append(self)
+        owner = _OWNER.get()
+        if owner is not None:
+            owner.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -64,22 +66,22 @@ class Scratch:
 def recording() -> Iterator[list[Scratch]]:
     """The folders made inside; they are deleted at the end, so what is to stay must have been written elsewhere."""
     made: list[Scratch] = []
-    _RECORDS.append(made)
+    before = _OWNER.set(made)
     try:
         yield made
     finally:
-        _RECORDS.remove(made)
+        _OWNER.reset(before)
         for scratch in made:
             scratch.drop()
 
 
 def _keep(df: DataFrame, label: str) -> tuple[DataFrame, Scratch]:
-    _RECORDS.append([])  # the folder is nobody's to delete
+    before = _OWNER.set(None)
     try:
         own = Scratch(df.sparkSession, label)
         return own.write(df, "result"), own
     finally:
-        _RECORDS.pop()
+        _OWNER.reset(before)
 
 
 def settled(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> DataFrame:
