@@ -197,14 +197,19 @@ def with_record_types(pages: DataFrame, scratch: Scratch, hot: int = HOT, limit:
     groups = rows.select("digest", "page_id").where("digest IS NOT NULL").groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n"))
     groups = scratch.write(groups.where("n > 1 AND kept IS NOT NULL"), "repeated")
     few = groups.limit(limit + 1).count() <= limit
-    first = groups if few else groups.where(F.col("n") >= hot)
-    if not few and first.count() > limit:
-        raise ValueError(f"over {limit} payloads have {hot} copies each: raise hot")
+    # the payloads with most copies are broadcast, as many as the limit holds; the others' copies are salted, so that no
+    # join key has more than about `hot` rows
+    least = hot
+    while not few and groups.where(F.col("n") >= least).limit(limit + 1).count() > limit:
+        least *= 2
+    first, salts = (groups, 1) if few else (groups.where(F.col("n") >= least), -(-least // hot))
     joined = rows.join(F.broadcast(first.select("digest", "kept")), "digest", "left")
     if not few:
-        rest = groups.where(F.col("n") < hot).select("digest", F.col("kept").alias("other"))
+        every = F.sequence(F.lit(0), F.lit(salts - 1).cast("long"))
+        rest = groups.where(F.col("n") < least).select("digest", F.col("kept").alias("other"), F.explode(every).alias("salt"))
         asks = F.col("digest").isNotNull() & F.col("kept").isNull()
-        later = joined.where(asks).join(rest, "digest", "left").withColumn("kept", F.col("other"))
+        salt = F.pmod(F.xxhash64("page_id"), F.lit(salts))
+        later = joined.where(asks).withColumn("salt", salt).join(rest, ["digest", "salt"], "left").withColumn("kept", F.col("other"))
         joined = joined.where(~asks).unionByName(later.select(*joined.columns))
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept"))
     return joined.select("page_id", "url", "payload", refers.alias("refers_to"))
