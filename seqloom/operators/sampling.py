@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..plans.storage import Scratch
 from ..registry import query
 from ..sources.views import CDS_SQL, CODONS_SQL, cds, codon_rows, positions, table
 
@@ -99,6 +100,131 @@ def w6(spark: SparkSession, sf: str) -> DataFrame:
     return matched_views(cds(spark, sf), "family", "sequence_sha256")
 
 
+def balanced(rows: DataFrame, n: str, seed: int = SEED) -> DataFrame:
+    """Up to n (a column, the same for a family) rows of each family, level by level over its taxa in hashed order; within a
+    taxon by seeded rank. A level is a place within 4096 ranges of the hash, so no taxon or family is sorted in one task."""
+    ranked = rows.withColumn("__rank", S.text_rank(seed, F.col("family"), F.col("sequence_sha256")))
+    placed = positions(ranked, ["family", "taxon"], F.substring("__rank", 1, 3), ["__rank", "sequence_sha256"]).withColumnRenamed("pos", "__level").where(F.col("__level") < F.col(n))
+    placed = placed.withColumn("__turn", S.text_rank(seed, F.lit("taxon"), F.col("taxon")))
+    return positions(placed, ["family"], F.col("__level"), ["__level", "__turn", "taxon"]).where(F.col("pos") < F.col(n)).select(*rows.columns)
+
+
+def require(checks: list[tuple[str, bool]]) -> None:
+    """Raises with the first message whose check is false."""
+    for message, holds in checks:
+        if not holds:
+            raise ValueError(message)
+
+
+def family_quotas(focus: DataFrame, lead: str) -> tuple[int, DataFrame]:
+    """The lead family's rows of the focus, and (family, quota): the other families share up to half of that number, one unit
+    a family and pass; the lead has the rest."""
+    n = focus.groupBy("family").agg(F.count("*").alias("n"))
+    count = focus.where(F.col("family") == lead).count()
+    others = n.where(F.col("family") != lead)
+    budget = min(others.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], count // 2)
+    levels = others.select("family", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(max(budget, 1))).cast("int"))).alias("level"))
+    taken = levels.orderBy("level", "family").limit(budget).groupBy("family").agg(F.count("*").alias("quota"))
+    return count, taken.unionByName(focus.sparkSession.createDataFrame([(lead, count - budget)], "family string, quota long").where("quota > 0"))
+
+
+def dependent_views(rows: DataFrame, focus: str, near: list[str], far: list[str], lead: str, seed: int = SEED) -> DataFrame:
+    """(view, place, family, taxon, sequence_sha256): three views with the same number of rows of each family, and the pools.
+
+    Each view starts with the same third of the focus taxon's chosen rows. The near view fills up with near taxa, balanced, and
+    where they are too few with further focus rows; the far view replaces half of those near rows by far taxa and keeps a
+    balanced part of the others. Every step is places within families and joins on the small table of quotas. Raises unless
+    the sequences are distinct and their taxa known, the lead family has three rows of the focus and one related family, each
+    view meets the quotas, the near view has two near taxa, and the far view two near taxa and a far one."""
+    scratch = Scratch(rows.sparkSession, "views")
+    rows = scratch.write(rows.select("family", "taxon", "sequence_sha256"), "rows")
+    known = F.col("taxon").isin([focus, *near, *far])
+    total, odd = rows.agg(F.count("*"), F.count_if(~F.coalesce(known, F.lit(False)))).first()
+    unique = rows.select("sequence_sha256").distinct().count()
+    require([("the pool holds a sequence twice", unique == total), ("the pool holds an unexpected taxon", odd == 0)])
+    pool = rows.where(F.col("taxon") == focus)
+    count, quotas = family_quotas(pool, lead)
+    require([("the lead family has fewer than three sequences of the focus", count >= 3)])
+    quotas = scratch.write(quotas.withColumn("common", F.least("quota", F.greatest(F.lit(1), F.round(F.col("quota") / 3).cast("long")))), "quotas")
+    require([("no related family of the focus", quotas.count() >= 2)])
+    small = F.broadcast(quotas)  # a row a family, summed over the rows
+
+    ranked = pool.withColumn("rank", S.text_rank(seed, F.col("family"), F.col("sequence_sha256")))
+    chosen = positions(ranked, ["family"], F.substring("rank", 1, 3), ["rank", "sequence_sha256"]).drop("rank").join(small, "family").where("pos < quota")
+    chosen = scratch.write(chosen, "chosen")
+    names = ["family", "taxon", "sequence_sha256"]
+    near_rows = rows.where(F.col("taxon").isin(near)).join(small, "family").withColumn("n", F.col("quota") - F.col("common"))
+    near_rows = scratch.write(balanced(near_rows, "n", seed).select(*names), "near")
+    got = near_rows.groupBy("family").agg(F.count("*").alias("got"))
+    state = quotas.join(got, "family", "left").fillna(0, ["got"]).withColumn("missing", F.col("quota") - F.col("common") - F.col("got"))
+    far_rows = rows.where(F.col("taxon").isin(far)).join(F.broadcast(state.select("family", F.expr("(got + 1) div 2").alias("n"))), "family")
+    far_rows = scratch.write(balanced(far_rows, "n", seed).select(*names), "far")
+    added = far_rows.groupBy("family").agg(F.count("*").alias("added"))
+    state = scratch.write(state.join(added, "family", "left").fillna(0, ["added"]).withColumn("n", F.col("got") - F.col("added")), "state")
+    kept = balanced(near_rows.join(F.broadcast(state.select("family", "n")), "family"), "n", seed).select(*names)
+    shared = chosen.join(F.broadcast(state.select("family", "missing")), "family").where("pos < common + missing").select(*names)
+    views = {
+        "focus_lead": pool.where(F.col("family") == lead),
+        "focus": chosen.select(*names),
+        "near": shared.unionByName(near_rows),
+        "far": shared.unionByName(kept).unionByName(far_rows),
+        "all_focus": pool,
+        "all_near": rows.where(F.col("taxon").isin([focus, *near])),
+        "all": rows,
+    }
+    out = None
+    for name, view in views.items():
+        view = view.select(F.lit(name).alias("view"), *names)
+        out = view if out is None else out.unionByName(view)
+    ranked = out.withColumn("rank", S.text_rank(seed, F.col("family"), F.col("sequence_sha256")))
+    placed = scratch.write(positions(ranked, ["view"], F.substring("rank", 1, 3), ["rank", "sequence_sha256"]).select("view", F.col("pos").alias("place"), *names), "views")
+    sizes = placed.where(F.col("view").isin("focus", "near", "far")).groupBy("view", "family").agg(F.count("*").alias("n")).join(quotas, "family", "full").where("n IS NULL OR n <> quota")
+    taxa = {r.view: r for r in placed.where(F.col("view").isin("near", "far")).groupBy("view").agg(F.count_distinct(F.when(F.col("taxon").isin(near), F.col("taxon"))).alias("near"), F.count_if(F.col("taxon").isin(far)).alias("far")).collect()}
+    require([
+        ("a family's quota cannot be filled", sizes.limit(1).count() == 0),
+        ("the near view has fewer than two near taxa", taxa["near"].near >= 2),
+        ("the far view has no far taxon", taxa["far"].far > 0),
+        ("the far view has fewer than two near taxa", taxa["far"].near >= 2),
+    ])
+    return placed
+
+
+def _rr_sql(name: str, source: str, n: str) -> str:
+    """The CTE `name`: n rows of each family from `source`, as balanced() takes them."""
+    return f"""{name} AS (SELECT family, taxon, s FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY level, sha256('{SEED}:taxon:' || taxon), taxon) AS place FROM (
+  SELECT p.*, row_number() OVER (PARTITION BY family, taxon ORDER BY sha256('{SEED}:' || family || ':' || s), s) AS level FROM {source} p)) JOIN {n} USING (family) WHERE place <= n)"""
+
+
+_FOCUS, _NEAR, _FAR = ["src1", "src2", "src3", "src4"], [f"src{k}" for k in range(5, 10)], ["src0", *(f"src{k}" for k in range(10, 20))]
+
+
+@query(
+    "W6_dependent_views",
+    f"""WITH {CDS_SQL}, pool AS (SELECT s, family, CASE WHEN taxon IN ('{"', '".join(_FOCUS)}') THEN 'focus' WHEN family = 'es' AND taxon <> 'src5' AND taxon IN ('{"', '".join(_NEAR)}') THEN 'src0' ELSE taxon END AS taxon
+      FROM (SELECT sequence_sha256 AS s, arg_min(family, doc_id) AS family, arg_min(taxon, doc_id) AS taxon FROM cds GROUP BY 1)),
+    hum AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY sha256('{SEED}:' || family || ':' || s), s) - 1 AS pos FROM pool WHERE taxon = 'focus'),
+    tot AS (SELECT count(*) FILTER (family = 'en') AS c, least(count(*) FILTER (family <> 'en'), count(*) FILTER (family = 'en') // 2) AS budget FROM hum),
+    lev AS (SELECT family, row_number() OVER (ORDER BY pos, family) AS r FROM hum WHERE family <> 'en'),
+    q AS (SELECT family, count(*) AS quota FROM lev, tot WHERE r <= budget GROUP BY family UNION ALL SELECT 'en', c - budget FROM tot),
+    qc AS (SELECT *, least(quota, greatest(1, CAST(round(quota / 3) AS BIGINT))) AS common FROM q), n1 AS (SELECT family, quota - common AS n FROM qc),
+    near_pool AS (SELECT * FROM pool WHERE taxon IN ('{"', '".join(_NEAR)}')), far_pool AS (SELECT * FROM pool WHERE taxon IN ('{"', '".join(_FAR)}')),
+    {_rr_sql("nr", "near_pool", "n1")}, g AS (SELECT family, quota, common, (SELECT count(*) FROM nr WHERE nr.family = qc.family) AS got FROM qc), n2 AS (SELECT family, (got + 1) // 2 AS n FROM g),
+    {_rr_sql("fr", "far_pool", "n2")}, n3 AS (SELECT family, got - (SELECT count(*) FROM fr WHERE fr.family = g.family) AS n FROM g), {_rr_sql("kept", "nr", "n3")},
+    shared AS (SELECT h.family, taxon, s FROM hum h JOIN g USING (family) WHERE pos < common + (quota - common - got)),
+    v AS (SELECT 'focus_lead' AS view, family, taxon, s FROM hum WHERE family = 'en' UNION ALL SELECT 'focus', family, taxon, s FROM hum JOIN q USING (family) WHERE pos < quota
+      UNION ALL SELECT 'near', * FROM shared UNION ALL SELECT 'near', * FROM nr UNION ALL SELECT 'far', * FROM shared UNION ALL SELECT 'far', * FROM kept UNION ALL SELECT 'far', * FROM fr
+      UNION ALL SELECT 'all_focus', family, taxon, s FROM hum UNION ALL SELECT 'all_near', family, taxon, s FROM pool WHERE taxon = 'focus' OR taxon IN ('{"', '".join(_NEAR)}') UNION ALL SELECT 'all', family, taxon, s FROM pool)
+    SELECT view, row_number() OVER (PARTITION BY view ORDER BY sha256('{SEED}:' || family || ':' || s), s) - 1 AS place, family, taxon, s AS sequence_sha256 FROM v""",
+)
+def w6_dependent(spark: SparkSession, sf: str) -> DataFrame:
+    """Four sources are the focus taxon, five are near, the rest far. Near sequences of one family are scarce, so that it is
+    filled with the focus."""
+    first = cds(spark, sf).groupBy("sequence_sha256").agg(F.min_by(F.struct("family", "taxon"), "doc_id").alias("f")).select("sequence_sha256", "f.*")
+    scarce = (F.col("family") == "es") & (F.col("taxon") != "src5") & F.col("taxon").isin(_NEAR)
+    taxon = F.when(F.col("taxon").isin(_FOCUS), "focus").when(scarce, "src0").otherwise(F.col("taxon"))
+    return dependent_views(first.withColumn("taxon", taxon), "focus", _NEAR, _FAR, "en")
+
+
 def anchors(records: DataFrame, gap: int, left: int, seed: int = SEED) -> DataFrame:
     """(doc_id, start, rank): of the starts that leave `left` codons before and the gap inside, the one
     with the least hash. Records too short have no row."""
