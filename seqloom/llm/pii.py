@@ -14,7 +14,9 @@ No term in more than (n(e) + p(e)) p(e)^(GENERALISE - 1) - 1 documents can tell
 terms are cut to those that can tell of one of its entities before pairs are made; nothing is lost.
 Entities that stand in the very same documents have the same counts with every term, so they are one
 class (known by its size and 128 bits of its documents' hashes), and a list of addresses in one
-document, or in its copies, makes one pair a term. A term counts where it touches no base span.
+document, or in its copies, makes one pair a term. A term or an entity of one document meets the other once at most,
+so the best disclosure of such a pair is that of the document's rarest entity: only terms and classes of two documents or
+more are paired and counted. A term counts where it touches no base span.
 
 All of it is DataFrame functions. Offsets count code points, ends are exclusive. Patterns are
 written so that no text makes them backtrack: a run of characters is tried from its start only,
@@ -193,11 +195,15 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     found = rows.withColumns({"base": base_spans(F.col("text")), "row": F.monotonically_increasing_id()})
     entity = F.transform("base", lambda s: F.concat_ws(":", s["rank"], F.lower(s["value"])))
     some = F.size("base") > 0
-    found = found.select("row", id_col, "base", F.array_distinct(entity).alias("entities"), F.when(some, F.col("text")).alias("text"))
+    hinted = F.col("text").rlike("|".join(HINTS.values()))
+    found = found.select("row", id_col, "base", F.array_distinct(entity).alias("entities"), F.when(hinted, F.col("text")).alias("text"))
     found = scratch.write(found.withColumns({"row_key": F.when(some, row_key(id_col, "text")), "masked": F.when(some, _masked(F.col("text"), F.col("base")))}), "base")
     held, total = found.where(some), F.lit(float(max(found.count(), 2)))
 
-    forms = rows.select(F.explode(_terms(F.col("text"), RAW_TERM)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    # texts without a hint are read as they are, the others from the table, where spans are masked
+    raw = F.when(F.col("text").contains(FILLER), _terms(F.col("text"))).otherwise(_terms(F.col("text"), RAW_TERM))
+    rest = found.where("text IS NOT NULL").select(F.explode(_terms(F.coalesce("masked", "text"))).alias("term"))
+    forms = rows.where(~hinted).select(F.explode(raw).alias("term")).unionByName(rest).groupBy("term").agg(F.count("*").alias("n_term"))
     forms = scratch.write(forms, "forms")
     mine = held.select("row", F.explode("entities").alias("entity"))
     chance = F.least(F.lit(1.0), F.col("n_entity") / total)
@@ -208,26 +214,31 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     most = (F.col("n_entity") + F.col("chance")) * F.pow("chance", F.lit(GENERALISE - 1)) - 1 + 1e-6
     classes = scratch.write(classes.withColumn("most", most), "classes")
     highest = classes.agg(F.coalesce(F.max("most"), F.lit(0.0))).first()[0]
-    each = F.collect_list(F.struct("n_entity", "h1", "h2", "chance", "most"))
-    per_row = classes.groupBy("row").agg(each.alias("each"), F.max("most").alias("most"))
+    each = F.collect_list(F.when(F.col("n_entity") > 1, F.struct("n_entity", "h1", "h2", "chance", "most")))
+    per_row = classes.groupBy("row").agg(each.alias("each"), F.max("most").alias("most"), F.min("chance").alias("rarest"))
+
+    def disclosure(n_both: F.Column, chance: F.Column) -> F.Column:
+        ic = -F.log2(chance)
+        return F.when(ic > 0, 1 + F.log2((n_both + chance) / (F.col("n_term") + 1)) / ic).otherwise(0.0)
 
     terms = held.select("row", F.explode(_terms(F.col("masked"))).alias("term")).join(forms.where(F.col("n_term") <= highest), "term")
-    both = terms.join(per_row, "row").where("n_term <= most")
-    both = both.select("row", "term", "n_term", F.inline(F.filter("each", lambda e: e["most"] >= F.col("n_term")))).drop("most")
+    terms = scratch.write(terms, "terms").join(per_row, "row").where("n_term <= most")
+    single = terms.select("row", "term", disclosure(F.lit(1), F.col("rarest")).alias("share")).where(F.col("share") >= GENERALISE)
+    both = terms.where("n_term > 1").select("row", "term", "n_term", F.inline(F.filter("each", lambda e: e["most"] >= F.col("n_term")))).drop("most")
     both = scratch.write(both, "both")
-    ic = -F.log2("chance")
-    share = 1 + F.log2((F.col("n_both") + F.col("chance")) / (F.col("n_term") + 1)) / ic
     of = ["n_entity", "h1", "h2", "term"]
     telling = (
         both.groupBy(*of, "n_term", "chance")
         .agg(F.count("*").alias("n_both"))
-        .withColumn("share", F.when(ic > 0, share).otherwise(0.0))
+        .withColumn("share", disclosure(F.col("n_both"), F.col("chance")))
         .where(F.col("share") >= GENERALISE)
         .select(*of, "share")
     )
     telling = scratch.write(telling, "telling")
     shares = (
         both.join(telling, of)
+        .select("row", "term", "share")
+        .unionByName(single)
         .groupBy("row", "term")
         .agg(F.max("share").alias("share"))
         .groupBy("row")

@@ -43,8 +43,8 @@ def disclosed(rows: list[tuple]) -> Counter:
         t = t or ""
         base = base_spans(t)
         entities = {(k, t[a:b].lower()) for a, k, b, _ in base}
-        free = [m for m in term.finditer(t) if not any(a < m.end() and m.start() < b for a, _, b, _ in base)]
-        n_term.update({m[0].lower() for m in term.finditer(t)})
+        free = [m for m in term.finditer(t) if pii.FILLER not in t[max(m.start() - 1, 0) : m.end() + 1] and not any(a < m.end() and m.start() < b for a, _, b, _ in base)]
+        n_term.update({m[0].lower() for m in free})
         n_entity.update(entities)
         docs.append((i, entities, free))
     both = Counter((e, w) for _, entities, free in docs for e in entities for w in {m[0].lower() for m in free})
@@ -92,6 +92,21 @@ def test_two_places_in_one_document_count_once(spark):
     assert not any(x.value == "twice" for places in added.values() for x in places)
 
 
+def test_places_inside_spans_do_not_count(spark):
+    """A word that stands beside one address still tells of it, though other documents hold the word inside an address."""
+    rows = [(0, f"{prose(20, 1)} quartermaster zed@corp.example"), *[(k, prose(30, k)) for k in range(1, 60)]]
+    more = [(100 + k, f"quartermaster@x{k}.org {prose(20, 100 + k)}") for k in range(8)]
+    for some in (rows, rows + more):
+        got = {r.doc_id: r.added for r in pii.spans(spark.createDataFrame(some, "doc_id long, text string")).collect()}
+        assert [x.value for x in got[0] if x.value == "quartermaster"] == ["quartermaster"]
+
+
+def test_the_filler_letter_is_in_no_term(spark):
+    rows = [(0, f"near{pii.FILLER} {pii.FILLER}far beside a@b.cd"), *[(k, f"beside{pii.FILLER} near far {prose(9, k)}") for k in range(1, 9)]]
+    got = Counter((r.doc_id, tuple(sorted((x.start, x.end, x.value, round(x.share, 9)) for x in r.added))) for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == disclosed(rows)
+
+
 def test_sanitise_edges(spark):
     rows = [*TEXTS, (1, "Call +44 20 7946 0958"), (1, "other a@b.cd"), (None, "x@y.zz 1.2.3.4"), (20, "p+4111111111111111@c.de")]
     df = frame(spark, rows)
