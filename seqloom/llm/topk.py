@@ -41,6 +41,8 @@ CHUNK, CHUNK_BYTES, QUERY_BLOCK, QUERY_BYTES, LEADERS, LED_WIDTHS = 8192, 8_000_
 COORDINATE_FROM, FOCUS = 0.5, 3
 #: Groups of parts in the summary that blocks are held against, and blocks a task keeps results of.
 GROUPS, HELD_BLOCKS = 1024, 64
+#: Scores of one matrix product (16 MB).
+PRODUCTS = 2_000_000
 LOWEST, HIGHEST = -(2**63), 2**63 - 1
 #: Integer products below this are exact in doubles.
 EXACT = 2.0**53
@@ -125,19 +127,19 @@ def _first_bounds(queries: DataFrame, leaders: dict[int, tuple[np.ndarray, np.nd
     return queries.select("id", "width", "v", "square").mapInPandas(bound, "id long, width int, v array<double>, square double, bound double, need double")
 
 
-def _candidates(q: np.ndarray, bound: float, unit: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Rows of a bucket (in order of descending length) that may reach the bound, by one of the two prunings."""
+def _candidates(q: np.ndarray, bound: float, unit: np.ndarray, length: np.ndarray) -> tuple[int, np.ndarray | None]:
+    """Rows of a bucket (in order of descending length) that may reach the bound, by one of the two prunings: the number of
+    leading rows, or with coordinate pruning the rows themselves."""
     norm = float(np.sqrt(np.dot(q, q)))
-    every = np.arange(len(length))
     if bound <= 0 or norm == 0 or not len(length):
         # a bound of zero or less excludes nothing by length; a zero query scores zero everywhere
-        return every if bound <= 0 else every[:0]
+        return (len(length) if bound <= 0 else 0), None
     slack = 1 - 1e-9
     if length[0] == 0 or (local := bound / (norm * length[0])) * slack > 1:
-        return every[:0]
+        return 0, None
     reach = int(np.searchsorted(-length, -(bound / norm) * slack, "right"))
     if local < COORDINATE_FROM:
-        return every[:reach]
+        return reach, None
     unit_q, keep, local = q / norm, np.ones(reach, bool), min(local, 1.0)
     for f in np.argsort(-np.abs(unit_q))[:FOCUS]:
         # a vector within the angle arccos(local) of the query; the axis itself may lie within it
@@ -146,7 +148,7 @@ def _candidates(q: np.ndarray, bound: float, unit: np.ndarray, length: np.ndarra
         low = -np.inf if unit_q[f] < -local else centre - width
         high = np.inf if unit_q[f] > local else centre + width
         keep &= (unit[:reach, f] >= low) & (unit[:reach, f] <= high)
-    return np.flatnonzero(keep)
+    return reach, np.flatnonzero(keep)
 
 
 def _products(q: np.ndarray, some: np.ndarray, lengths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,18 +176,42 @@ class _Block:
         self.best = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(self.ids)
 
     def meet(self, ids: np.ndarray, vectors: np.ndarray, length: np.ndarray, unit: np.ndarray) -> None:
+        """Queries that keep leading rows are multiplied with them together, a matrix of PRODUCTS scores at a time."""
+        runs = []
         for i, q in enumerate(self.queries):
-            some = _candidates(q, float(self.bounds[i]), unit, length)
-            some = some[ids[some] != self.ids[i]]
-            if not len(some):
-                continue
-            places, scores = _products(q, vectors[some], length[some], self.k)
-            held_scores, held_ids = self.best[i]
-            scores, mine = np.append(held_scores, scores), np.append(held_ids, ids[some[places]])
-            first = np.lexsort((mine, ~scores))[: self.k]  # ~x falls as x rises, without overflow
-            self.best[i] = scores[first], mine[first]
-            if len(first) == self.k:
-                self.bounds[i] = max(self.bounds[i], min(float(scores[first[-1]]), SURE))
+            reach, chosen = _candidates(q, float(self.bounds[i]), unit, length)
+            if chosen is None and reach and float(np.sqrt(np.dot(q, q))) * length[0] < EXACT:
+                runs.append((i, reach))
+            elif reach:
+                some = np.arange(reach) if chosen is None else chosen
+                some = some[ids[some] != self.ids[i]]
+                if len(some):
+                    places, scores = _products(q, vectors[some], length[some], self.k)
+                    self.keep(i, ids[some[places]], scores)
+        runs.sort(key=lambda x: x[1])
+        step = max(1, PRODUCTS // max(1, len(ids)))
+        for a in range(0, len(runs), step):
+            at, reach = (np.array(x) for x in zip(*runs[a : a + step], strict=True))
+            near = self.queries[at] @ vectors[: reach.max()].T
+            hit = near >= self.bounds[at, None]  # what is below the bound is in no query's k best
+            hit &= (np.arange(reach.max()) < reach[:, None]) & (ids[None, : reach.max()] != self.ids[at, None])
+            which, places = np.nonzero(hit)
+            ends = np.searchsorted(which, np.arange(1, len(at)))
+            for i, row, mine in zip(at, near, np.split(places, ends), strict=True):
+                if len(mine):
+                    self.keep(i, ids[mine], row[mine].astype(np.int64))
+
+    def keep(self, i: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Merges new scores of a query into its k best and raises its bound."""
+        if len(scores) > 4 * self.k:
+            some = scores >= np.partition(scores, -self.k)[-self.k]
+            ids, scores = ids[some], scores[some]
+        held_scores, held_ids = self.best[i]
+        scores, mine = np.append(held_scores, scores), np.append(held_ids, ids)
+        first = np.lexsort((mine, ~scores))[: self.k]  # ~x falls as x rises, without overflow
+        self.best[i] = scores[first], mine[first]
+        if len(first) == self.k:
+            self.bounds[i] = max(self.bounds[i], min(float(scores[first[-1]]), SURE))
 
     def rows(self) -> pa.RecordBatch:
         n = [len(s) for s, _ in self.best]
