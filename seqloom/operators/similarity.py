@@ -1,13 +1,13 @@
 """Similar sequences: equal-length pairs within a bound of differences, their components, and audits.
 
-Pairs are found by pigeonhole: a pair with at most d differences agrees on one at least of d + 1
-segments, so equal segments are an equi join and nothing is compared with everything. Only distinct
-sequences take part; copies share their sequence's cluster.
+Pairs are found by pigeonhole: a pair with at most d differences agrees on r at least of d + r pieces, so equal
+sets of r pieces are an equi join and nothing is compared with everything. Only distinct sequences take part;
+copies share their sequence's cluster.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import hamming, r6
@@ -17,9 +17,35 @@ from ..registry import query
 from ..sources.views import CDS_SQL, cds, fragments, fragments_sql, table
 
 BLOCK = ["family", "taxon"]
-#: Bases of the fragments that whole records are cut into, so that many have equal lengths; for the audit over all strata.
-FRAGMENT, LONG_FRAGMENT = 24, 48
-THRESHOLDS = (0.99, 0.95, 0.9)
+#: Bases of the fragments that whole records are cut into, so that many have equal lengths.
+FRAGMENT = 48
+THRESHOLDS, REPORT = (0.99, 0.95, 0.9), 0.8
+#: Bases that a search key should have, and pieces that sets are made of at most.
+KEY_BASES, MOST_PIECES = 12, 13
+
+
+def _agreeing(rna: Column, n: Column, bound: Column) -> Column:
+    """Keys of a sequence of n bases, one at least of which it shares with any within `bound` differences (array<long>).
+
+    Of bound + r disjoint pieces r agree, so every set of r pieces is a key. r grows from 1 to 3 until a key has KEY_BASES bases
+    (longer keys select better), as long as there are at most MOST_PIECES pieces."""
+
+    def long_enough(r: int) -> Column:
+        return F.lit(r) * n / (bound + r) >= KEY_BASES
+
+    r = F.when(long_enough(1) | (bound > MOST_PIECES - 2), 1).when(long_enough(2) | (bound > MOST_PIECES - 3), 2).otherwise(3)
+    k = bound + r
+    cut = lambda i: F.floor(i.cast("long") * n / k).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.xxhash64(i, F.substring(rna, cut(i) + 1, cut(i + 1) - cut(i))))
+
+    def sets(all_: Column) -> Column:
+        at = lambda i: F.get(all_, i)
+        from_ = lambda i: F.when(i < F.size(all_), F.sequence(i, F.size(all_) - 1)).otherwise(F.array().cast("array<int>"))
+        pairs = F.flatten(F.transform(from_(F.lit(0)), lambda i: F.transform(from_(i + 1), lambda j: F.xxhash64(at(i), at(j)))))
+        triples = F.flatten(F.transform(from_(F.lit(0)), lambda i: F.flatten(F.transform(from_(i + 1), lambda j: F.transform(from_(j + 1), lambda m: F.xxhash64(at(i), at(j), at(m)))))))
+        return F.when(r == 1, all_).when(r == 2, pairs).otherwise(triples)
+
+    return F.get(F.transform(F.array(pieces), sets), 0)
 
 
 def similar_pairs(records: DataFrame, threshold: float, block: list[str] = BLOCK) -> DataFrame:
@@ -28,39 +54,43 @@ def similar_pairs(records: DataFrame, threshold: float, block: list[str] = BLOCK
     bound = F.floor((1 - threshold) * F.col("n") + 1e-10).cast("int")
     scratch = Scratch(records.sparkSession, "similar")
     unique = records.groupBy(*block, "sequence_sha256").agg(F.first("rna").alias("rna")).withColumn("n", F.length("rna"))
-    unique = scratch.write(unique, "unique")  # read three times; records may be costly to make
-    k = F.col("bound") + 1
-    cut = lambda i: F.floor(i.cast("long") * F.col("n") / k).cast("int")
-    segments = F.transform(F.sequence(F.lit(0), F.col("bound")), lambda i: F.xxhash64(i, F.substring("rna", cut(i) + 1, cut(i + 1) - cut(i))))
+    # read three times; records may be costly to make. u stands for a sequence where only its identity matters
+    unique = scratch.write(unique.withColumn("u", F.monotonically_increasing_id()), "unique")
     lengths = unique.groupBy(*block, "n").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    keys = unique.join(lengths, [*block, "n"], "left_semi").withColumn("bound", bound).select(*block, "n", "sequence_sha256", F.explode(segments).alias("segment"))
-    a = keys.withColumnRenamed("sequence_sha256", "a")
-    b = keys.withColumnRenamed("sequence_sha256", "b")
-    met = a.join(b, [*block, "n", "segment"]).where("a < b").select(*block, "n", "a", "b").distinct()
-    text = unique.groupBy("sequence_sha256").agg(F.first("rna").alias("rna")) if block else unique.select("sequence_sha256", "rna")
+    keys = unique.join(lengths, [*block, "n"], "left_semi").withColumn("bound", bound)
+    keys = keys.select(*block, "n", "u", F.explode(_agreeing(F.col("rna"), F.col("n"), F.col("bound"))).alias("key"))
+    met = keys.withColumnRenamed("u", "x").join(keys.withColumnRenamed("u", "y"), [*block, "n", "key"]).where("x < y").select("x", "y").distinct()
     met = scratch.write(met, "met")
-    some = met.select(F.explode(F.array("a", "b")).alias("sequence_sha256")).distinct()
-    text = scratch.write(text.join(some, "sequence_sha256", "left_semi"), "text")
-    rows = met.join(text.toDF("a", "ra"), "a").join(text.toDF("b", "rb"), "b")
-    return rows.withColumn("differences", hamming(F.col("ra"), F.col("rb"))).withColumn("bound", bound).where("differences <= bound").select(*block, "n", "a", "b", "differences")
+    some = met.select(F.explode(F.array("x", "y")).alias("u")).distinct()
+    text = scratch.write(unique.join(some, "u", "left_semi"), "text")
+    rows = met.join(text.withColumnsRenamed({"u": "x", "rna": "ra", "sequence_sha256": "sa"}), "x").join(text.select(F.col("u").alias("y"), F.col("rna").alias("rb"), F.col("sequence_sha256").alias("sb")), "y")
+    rows = rows.withColumns({"differences": hamming(F.col("ra"), F.col("rb")), "bound": bound, "a": F.least("sa", "sb"), "b": F.greatest("sa", "sb")})
+    return rows.where("differences <= bound").select(*block, "n", "a", "b", "differences")
+
 
+def _pairs_sql(threshold: float, width: int, block: bool = True) -> str:
+    """CTEs u and pair: candidates share a piece of one more than the allowed differences, found by another cut than ours."""
+    k = int((1 - threshold) * width + 1e-10) + 1
+    same, by = ("a.family = b.family AND a.taxon = b.taxon AND ", "family, taxon, ") if block else ("", "")
+    of = "a.family, a.taxon, " if block else ""
+    return f"""{fragments_sql(width)}, u AS (SELECT DISTINCT {by}sequence_sha256, rna, length(rna) AS n FROM frag),
+seg AS (SELECT *, substr(rna, CAST(i * {width} // {k} AS INTEGER) + 1, CAST((i + 1) * {width} // {k} - i * {width} // {k} AS INTEGER)) AS piece FROM (SELECT *, unnest(range({k})) AS i FROM u)),
+pair AS (SELECT DISTINCT {of}a.n, a.sequence_sha256 AS a, b.sequence_sha256 AS b, hamming(a.rna, b.rna) AS differences
+  FROM seg a JOIN seg b ON {same}a.i = b.i AND a.piece = b.piece AND a.sequence_sha256 < b.sequence_sha256 WHERE hamming(a.rna, b.rna) < {k})"""
 
-_PAIRS = f"""{fragments_sql(FRAGMENT)}, u AS (SELECT DISTINCT family, taxon, sequence_sha256, rna, length(rna) AS n FROM frag),
-pair AS (SELECT a.family, a.taxon, a.n, a.sequence_sha256 AS a, b.sequence_sha256 AS b, hamming(a.rna, b.rna) AS differences FROM u a JOIN u b ON a.family = b.family AND a.taxon = b.taxon AND a.n = b.n AND a.sequence_sha256 < b.sequence_sha256)"""
 
+_PAIRS = _pairs_sql(0.9, FRAGMENT)
 
-@query("J8_blocked_pairs", f"WITH {_PAIRS} SELECT * FROM pair WHERE differences <= floor(0.1 * n + 1e-10)")
+
+@query("J8_blocked_pairs", f"WITH {_PAIRS} SELECT * FROM pair")
 def j8(spark: SparkSession, sf: str) -> DataFrame:
     return similar_pairs(fragments(spark, sf, FRAGMENT), 0.9)
 
 
-@query(
-    "J9_cross_stratum_pairs",
-    f"""WITH {CDS_SQL}, u AS (SELECT DISTINCT sequence_sha256, rna, length(rna) AS n FROM cds) SELECT a.n, a.sequence_sha256 AS a, b.sequence_sha256 AS b, hamming(a.rna, b.rna) AS differences
-    FROM u a JOIN u b ON a.n = b.n AND a.sequence_sha256 < b.sequence_sha256 WHERE hamming(a.rna, b.rna) <= floor((1 - 0.95) * a.n + 1e-10)""",
-)
+@query("J9_cross_stratum_pairs", f"WITH {_pairs_sql(REPORT, FRAGMENT, False)} SELECT * FROM pair")
 def j9(spark: SparkSession, sf: str) -> DataFrame:
-    return similar_pairs(cds(spark, sf), 0.95, [])
+    """Over all strata, from the identity that is reported on."""
+    return similar_pairs(fragments(spark, sf, FRAGMENT), REPORT, [])
 
 
 def nearest(queries: DataFrame, targets: DataFrame, block: str) -> DataFrame:
@@ -178,10 +208,40 @@ def homology_audit(records: DataFrame, thresholds: tuple[float, ...] = THRESHOLD
     return out
 
 
+def leakage_warnings(records: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, report: float = REPORT) -> DataFrame:
+    """(threshold, holdout_sha256, training_sha256, identity, n_holdout, n_training): each pair of sequences that a threshold (or
+    the reporting identity) makes an edge between the cohorts, with the records that have them. A sequence in both cohorts
+    is such a pair with itself; copies are counted, not listed."""
+    scratch = Scratch(records.sparkSession, "warnings")
+    records = scratch.write(records.select(*BLOCK, "cohort", "sequence_sha256", "rna"), "records")
+    nodes = records.groupBy(F.col("sequence_sha256").alias("s")).agg(F.count_if(F.col("cohort") == "holdout").alias("h"), F.count_if(F.col("cohort") != "holdout").alias("t"))
+    nodes = scratch.write(nodes, "nodes")
+    near = similar_pairs(records, min(*thresholds, report), []).select("a", "b", (1 - F.col("differences") / F.col("n")).alias("identity"))
+    near = scratch.write(near, "near")
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "identity")).unionByName(nodes.select(F.col("s").alias("a"), F.col("s").alias("b"), F.lit(1.0).alias("identity")))
+    side = lambda x, n, k: nodes.where(F.col(k) > 0).select(F.col("s").alias(x), F.col(k).alias(n))
+    rows = both.join(side("a", "n_holdout", "h"), "a").join(side("b", "n_training", "t"), "b")
+    levels = F.explode(F.array(*map(F.lit, sorted({*thresholds, report}))))
+    rows = rows.select(levels.alias("threshold"), F.col("a").alias("holdout_sha256"), F.col("b").alias("training_sha256"), "identity", "n_holdout", "n_training")
+    return rows.where(F.col("identity") >= F.col("threshold") - 1e-10).withColumn("identity", r6(F.col("identity")))
+
+
+@query(
+    "G3_leakage_warnings",
+    f"""WITH {_pairs_sql(REPORT, FRAGMENT, False)}, nd AS (SELECT sequence_sha256 AS s, count(*) FILTER (cohort = 'holdout') AS h, count(*) FILTER (cohort <> 'holdout') AS t FROM frag GROUP BY 1),
+    e AS (SELECT a, b, 1 - differences / n AS i FROM pair UNION ALL SELECT b, a, 1 - differences / n FROM pair UNION ALL SELECT s, s, 1.0 FROM nd)
+    SELECT threshold, a AS holdout_sha256, b AS training_sha256, round(i, 6) + 0.0 AS identity, x.h AS n_holdout, y.t AS n_training
+    FROM (SELECT *, unnest([{", ".join(f"{t}::DOUBLE" for t in (*THRESHOLDS, REPORT))}]) AS threshold FROM e) JOIN nd x ON x.s = a AND x.h > 0 JOIN nd y ON y.s = b AND y.t > 0 WHERE i >= threshold - 1e-10""",
+)
+def g3_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage_warnings(fragments(spark, sf, FRAGMENT))
+
+
 def _audit_sql(t: float) -> str:
-    return f"""SELECT * FROM (WITH RECURSIVE {fragments_sql(LONG_FRAGMENT)}, u AS (SELECT sequence_sha256 AS s, any_value(rna) AS rna, length(any_value(rna)) AS n, count(*) AS k, count(*) FILTER (cohort = 'holdout') AS ho FROM frag GROUP BY 1),
+    return f"""SELECT * FROM (WITH RECURSIVE {fragments_sql(FRAGMENT)}, u AS (SELECT sequence_sha256 AS s, any_value(rna) AS rna, length(any_value(rna)) AS n, count(*) AS k, count(*) FILTER (cohort = 'holdout') AS ho FROM frag GROUP BY 1),
+seg AS (SELECT s, i, substr(rna, CAST(i * n // 5 AS INTEGER) + 1, CAST((i + 1) * n // 5 - i * n // 5 AS INTEGER)) AS piece FROM (SELECT *, unnest(range(5)) AS i FROM u)),
 st AS (SELECT sequence_sha256 AS s, family, taxon, count(*) AS k FROM frag GROUP BY ALL),
-pair AS (SELECT a.s AS a, b.s AS b, a.n, hamming(a.rna, b.rna) AS d, a.k AS ka, b.k AS kb, a.ho * (b.k - b.ho) + b.ho * (a.k - a.ho) AS x FROM u a JOIN u b ON a.n = b.n AND a.s < b.s AND hamming(a.rna, b.rna) <= floor((1 - {t}) * a.n + 1e-10)),
+pair AS (SELECT a.s AS a, b.s AS b, a.n, hamming(a.rna, b.rna) AS d, a.k AS ka, b.k AS kb, a.ho * (b.k - b.ho) + b.ho * (a.k - a.ho) AS x FROM (SELECT DISTINCT p.s AS ps, q.s AS qs FROM seg p JOIN seg q ON p.i = q.i AND p.piece = q.piece AND p.s < q.s) m JOIN u a ON a.s = ps JOIN u b ON b.s = qs AND hamming(a.rna, b.rna) <= floor((1 - {t}) * a.n + 1e-10)),
 ends AS (SELECT a AS s, b AS o, kb AS d FROM pair UNION ALL SELECT b, a, ka FROM pair),
 reach AS (SELECT DISTINCT s AS node, s AS root FROM ends UNION SELECT e.o, r.root FROM reach r JOIN ends e ON r.node = e.s),
 part AS (SELECT u.k, coalesce(m.root, u.s) AS c FROM u LEFT JOIN (SELECT node, min(root) AS root FROM reach GROUP BY 1) m ON m.node = u.s),
@@ -199,7 +259,7 @@ SELECT CAST({t} AS DOUBLE) AS threshold, CAST(n_nodes AS BIGINT) AS n_nodes, CAS
 @query("G3_homology_audit", " UNION ALL ".join(map(_audit_sql, THRESHOLDS)))
 def g3(spark: SparkSession, sf: str) -> DataFrame:
     """Edges between cohorts are the leakage that exact keys do not show."""
-    return homology_audit(fragments(spark, sf, LONG_FRAGMENT))
+    return homology_audit(fragments(spark, sf, FRAGMENT))
 
 
 @query(
