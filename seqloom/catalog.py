@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import registry
-from .operators import alignment, audits, dedup, design, family_profiles, feature_gates, gates, identity, joins, language_models, profiles, sampling, scalars, similarity  # noqa: F401  importing a module registers its queries
+from .operators import alignment, audits, banks, dedup, design, family_profiles, feature_gates, gates, identity, joins, language_models, profiles, sampling, scalars, similarity  # noqa: F401  importing a module registers its queries
 from .streaming import ledger  # noqa: F401
 
 
