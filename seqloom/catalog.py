@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import registry
-from .operators import alignment, annotation, audits, banks, dedup, design, domains, family_profiles, feature_gates, gates, identity, intervals, joins, language_models, model_inputs, neighbours, prepare, profiles, sampling, scalars, similarity  # noqa: F401  importing a module registers its queries
+from .operators import alignment, annotation, audits, banks, dedup, design, domains, family_profiles, feature_gates, gates, identity, intervals, joins, language_models, model_inputs, neighbours, prepare, profiles, reports, sampling, scalars, similarity  # noqa: F401  importing a module registers its queries
 from .streaming import ledger  # noqa: F401
 
 
