@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import locations
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object a line, blank lines left out; the schema is given, not inferred."""
@@ -48,6 +50,41 @@ def read_embl(spark: SparkSession, path: str) -> DataFrame:
     ).where("id <> ''")
 
 
+def read_embl_features(spark: SparkSession, path: str) -> DataFrame:
+    """(id, ordinal, key, location, parts, qualifiers, bases) with a row for each feature of EMBL flat files, in order.
+
+    parts: the location's ordered parts (functions.locations), null for what is none; qualifiers: a map of each name's values
+    in order, an empty text for one without a value; white space of wrapped values is one space, and none in translations.
+    bases: the feature's sequence, null for a part of another record or outside this one. A record without features has no row."""
+    rows = spark.read.option("lineSep", "\n//").text(path).where(F.length(F.trim("value")) > 0)
+    value = F.concat(F.lit("\n"), "value")
+    table = F.concat(F.lit("\n"), F.array_join(F.regexp_extract_all(value, F.lit(r"\nFT   ([^\n]*)"), F.lit(1)), "\n"))
+    rows = rows.select(
+        F.regexp_extract(value, r"\nID\s+([^;\s]+)", 1).alias("id"), F.upper(F.regexp_replace(F.regexp_extract(value, r"\nSQ [^\n]*\n([\s\S]*)", 1), r"[^A-Za-z]", "")).alias("sequence"),
+        F.posexplode(F.filter(F.split(table, r"\n(?=\S)"), lambda x: x.rlike(r"\S"))).alias("ordinal", "text"),
+    ).where("id <> ''")
+    lines = F.split("text", r"\n\s+(?=/)")
+    head, tail = F.get(lines, 0), F.slice(lines, F.lit(2), F.size(lines))
+    rows = rows.withColumns({"key": F.regexp_extract(head, r"^(\S+)", 1), "location": F.regexp_replace(F.regexp_replace(head, r"^\S+\s+", ""), r"\s+", ""), "tail": tail})
+    name = lambda q: F.regexp_extract(q, r"^/([^=\s]+)", 1)
+    plain = lambda q: F.regexp_replace(F.regexp_replace(F.when(q.contains("="), F.regexp_replace(q, r"^/[^=]+=", "")).otherwise(""), r'^"|"$', ""), r"\s+", " ")
+    cleaned = lambda q: F.when(name(q) == "translation", F.regexp_replace(plain(q), " ", "")).otherwise(plain(q))
+    names = F.array_distinct(F.transform("tail", name))
+    values = F.transform(names, lambda n: F.transform(F.filter("tail", lambda q: name(q) == n), cleaned))
+    rows = rows.withColumns({"qualifiers": F.map_from_arrays(names, values), "parts": locations.parts(F.col("location"))})
+    here = F.coalesce(~F.exists("parts", lambda p: p["remote"] | (p["first"] < 1) | (p["last"] > F.length("sequence")) | (p["first"] > p["last"])), F.lit(False))
+    return rows.select("id", "ordinal", "key", "location", "parts", "qualifiers", F.when(here, locations.extract(F.col("sequence"), F.col("parts"))).alias("bases"))
+
+
+def requested_records(records: DataFrame, requested: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """records as they are, and the requested keys that have none. Raises ValueError if a key comes twice or was not asked for."""
+    seen = records.groupBy(key).agg(F.count("*").alias("n")).join(requested.select(key).distinct().withColumn("asked", F.lit(True)), key, "left")
+    twice, other = seen.agg(F.count_if(F.col("n") > 1), F.count_if(F.col("asked").isNull())).first()
+    if twice or other:
+        raise ValueError(f"{twice} records come twice, {other} were not requested")
+    return records, requested.select(key).distinct().join(records.select(key), key, "left_anti")
+
+
 INSDSEQ = """
 `INSDSeq_accession-version` string, INSDSeq_length int, INSDSeq_organism string, INSDSeq_sequence string,
 `INSDSeq_feature-table` struct<INSDFeature: array<struct<INSDFeature_key: string, INSDFeature_location: string,

@@ -42,6 +42,45 @@ def test_embl(spark, tmp_path):
     assert rows["AB2"].sequence == "ATG" and rows["AB2"].translation is None and len(rows) == 2
 
 
+def test_embl_features(spark, tmp_path):
+    text = """ID   A1; SV 1; linear; mRNA; STD; HUM; 30 BP.
+FT   source          1..30
+FT                   /organism="Homo
+FT                   sapiens"
+FT                   /db_xref="taxon:9606"
+FT   CDS             complement(join(2..4,
+FT                   10..12))
+FT                   /codon_start=1
+FT                   /pseudo
+FT                   /db_xref="X:1"
+FT                   /db_xref="Y:2"
+FT                   /translation="MA
+FT                   KL"
+FT   gene            B2.1:1..3
+SQ   Sequence 30 BP;
+     acgtacgtac gtacgtacgt acgtacgtac        30
+//
+ID   A2; SV 1; linear; mRNA; STD; HUM; 4 BP.
+SQ   Sequence 4 BP;
+     acgt        4
+//
+"""
+    (tmp_path / "f.embl").write_text(text)
+    rows = files.read_embl_features(spark, str(tmp_path)).orderBy("ordinal").collect()
+    assert [(r.id, r.key, r.location, r.bases) for r in rows] == [("A1", "source", "1..30", "ACGTACGTAC" + "GTACGTACGT" + "ACGTACGTAC"), ("A1", "CDS", "complement(join(2..4,10..12))", "ACG" + "ACG"), ("A1", "gene", "B2.1:1..3", None)]
+    assert rows[1].qualifiers == {"codon_start": ["1"], "pseudo": [""], "db_xref": ["X:1", "Y:2"], "translation": ["MAKL"]} and rows[0].qualifiers["organism"] == ["Homo sapiens"]
+    assert [(p.first, p.last, p.strand) for p in rows[1].parts] == [(10, 12, -1), (2, 4, -1)]
+
+
+def test_requested_records(spark):
+    got, asked = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int"), spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    records, missing = files.requested_records(got, asked)
+    assert records.count() == 2 and [r.id for r in missing.collect()] == ["c"]
+    for bad in (got.union(got.limit(1)), got.union(spark.createDataFrame([("z", 1)], "id string, n int"))):
+        with pytest.raises(ValueError, match="come twice"):
+            files.requested_records(bad, asked)
+
+
 def test_insdseq(spark, tmp_path):
     (tmp_path / "a.xml").write_text(XML)
     r = files.read_insdseq(spark, str(tmp_path)).first()
