@@ -108,10 +108,17 @@ def model_size(spark: SparkSession, widths: list[int], layers: list[int], vocabu
 
 @query(
     "F31_model_size",
-    "SELECT CAST(w AS INTEGER) AS width, CAST(l AS INTEGER) AS layers, 72 * w + l * (12 * w * w + 13 * w) + 2 * w AS parameters, 16 * (72 * w + l * (12 * w * w + 13 * w) + 2 * w) AS training_bytes FROM unnest([48::BIGINT, 96, 192, 256, 384]) a(w), unnest([2::BIGINT, 3, 4, 6]) b(l)",
+    f"""WITH {CDS_SQL}, t AS (SELECT family, CAST(sum(length(rna) // 3) AS BIGINT) AS tokens FROM cds GROUP BY family),
+    m AS (SELECT CAST(w AS INTEGER) AS width, CAST(l AS INTEGER) AS layers, 72 * w + l * (12 * w * w + 13 * w) + 2 * w AS parameters FROM unnest([48::BIGINT, 96, 192, 256, 384]) a(w), unnest([2::BIGINT, 3, 4, 6]) b(l))
+    SELECT family, width, layers, parameters, 16 * parameters AS training_bytes, tokens, CAST(6 * parameters * tokens AS DOUBLE) AS training_flops FROM m, t""",
 )
 def f31(spark: SparkSession, sf: str) -> DataFrame:
-    return model_size(spark, [48, 96, 192, 256, 384], [2, 3, 4, 6], len(codes.CODONS) + len(CONTROL))
+    """Sizes of models, and what a pass over each family's tokens costs them."""
+    tokens = cds(spark, sf).groupBy("family").agg(F.sum(F.floor(F.length("rna") / 3)).alias("tokens"))
+    sizes = F.collect_list(F.struct("width", "layers", "parameters", "training_bytes"))  # a fixed grid
+    grid = model_size(spark, [48, 96, 192, 256, 384], [2, 3, 4, 6], len(codes.CODONS) + len(CONTROL)).agg(sizes.alias("g"))
+    rows = tokens.join(F.broadcast(grid)).select("family", "tokens", F.inline("g"))
+    return rows.withColumn("training_flops", (6 * F.col("parameters") * F.col("tokens")).cast("double"))
 
 
 @query("S2_S20_record_list", f"WITH {CDS_SQL} SELECT accession, sequence_sha256, length(rna) AS n FROM cds")

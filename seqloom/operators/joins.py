@@ -264,15 +264,19 @@ def o9(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "O10_experiment_grid",
-    "SELECT CAST(g AS INTEGER) AS gap, CAST(l AS INTEGER) AS left_codons, CAST(s AS INTEGER) AS seed, arm FROM unnest([1, 2, 4, 8, 16]) a(g), unnest([4, 8, 16, 32]) b(l), unnest([17, 29, 43]) c(s), unnest(['base', 'codon']) d(arm)",
+    f"""WITH {CDS_SQL}, f AS (SELECT family, count(*) AS n, min(length(rna) // 3) AS shortest FROM cds GROUP BY family)
+    SELECT family, CAST(g AS INTEGER) AS gap, CAST(l AS INTEGER) AS left_codons, CAST(s AS INTEGER) AS seed, arm, n, shortest >= g + l AS all_fit
+    FROM f, unnest([1, 2, 4, 8, 16]) a(g), unnest([4, 8, 16, 32]) b(l), unnest([17, 29, 43]) c(s), unnest(['base', 'codon']) d(arm)""",
 )
 def o10(spark: SparkSession, sf: str) -> DataFrame:
-    return experiment_grid(spark, {"gap": [1, 2, 4, 8, 16], "left_codons": [4, 8, 16, 32], "seed": [17, 29, 43], "arm": ["base", "codon"]})
+    """The grid of each family of the records, and whether a case fits all of them."""
+    families = cds(spark, sf).groupBy("family").agg(F.count("*").alias("n"), F.min(F.floor(F.length("rna") / 3)).alias("shortest"))
+    grid = experiment_grid(families, {"gap": [1, 2, 4, 8, 16], "left_codons": [4, 8, 16, 32], "seed": [17, 29, 43], "arm": ["base", "codon"]})
+    return grid.withColumn("all_fit", F.col("shortest") >= F.col("gap") + F.col("left_codons")).drop("shortest")
 
 
-def experiment_grid(spark: SparkSession, axes: dict[str, list]) -> DataFrame:
-    """Every combination of a few parameters, by exploding one literal row."""
-    grid = spark.range(1, numPartitions=1)
+def experiment_grid(rows: DataFrame, axes: dict[str, list]) -> DataFrame:
+    """Every row with every combination of a few parameters."""
     for name, values in axes.items():
-        grid = grid.withColumn(name, F.explode(F.array(*map(F.lit, values))))
-    return grid.drop("id")
+        rows = rows.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return rows

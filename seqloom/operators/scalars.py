@@ -113,30 +113,41 @@ def f17(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.md5(text).alias("decoded_md5"), (text == F.col("rna")).alias("same"))
 
 
+DEGENERATE = {"N": "ACGU", "R": "AG", "Y": "CU"} | {b: b for b in "ACGU"}
+
+
+def degenerate_expansion(pattern: F.Column) -> F.Column:
+    """Sorted array of the codons that a pattern of three letters of DEGENERATE stands for; null for any other letter."""
+    of = F.create_map(*[F.lit(x) for kv in DEGENERATE.items() for x in kv])
+    at = lambda k: F.split(F.try_element_at(of, F.substring(pattern, k, 1)), "")
+    return F.array_sort(F.flatten(F.transform(at(1), lambda x: F.flatten(F.transform(at(2), lambda y: F.transform(at(3), lambda z: F.concat(x, y, z)))))))
+
+
 @query(
     "F18_degenerate_expansion",
     """WITH d(code, bases) AS (VALUES ('N', 'ACGU'), ('R', 'AG'), ('Y', 'CU'), ('A', 'A'), ('C', 'C'), ('G', 'G'), ('U', 'U')),
-    b AS (SELECT code, unnest(string_split(bases, '')) AS base FROM d)
-    SELECT x.code || y.code || z.code AS pattern, count(*) AS n, string_agg(x.base || y.base || z.base, ' ' ORDER BY x.base, y.base, z.base) AS expanded
-    FROM b x, b y, b z GROUP BY x.code, y.code, z.code""",
+    b AS (SELECT code, unnest(string_split(bases, '')) AS base FROM d),
+    x AS (SELECT x.code || y.code || z.code AS pattern, count(*) AS n, string_agg(x.base || y.base || z.base, ' ' ORDER BY x.base, y.base, z.base) AS expanded FROM b x, b y, b z GROUP BY x.code, y.code, z.code),
+    s AS (SELECT pattern, count(*) AS seen FROM (SELECT unnest(regexp_extract_all(replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'T', 'U'), '[ACGUNRY]{3}')) AS pattern FROM documents) GROUP BY 1)
+    SELECT pattern, seen, n, expanded FROM s JOIN x USING (pattern)""",
 )
 def f18(spark: SparkSession, sf: str) -> DataFrame:
-    """All patterns of seven letters over three places (a table of fixed size)."""
-    bases = {"N": "ACGU", "R": "AG", "Y": "CU"} | {b: b for b in "ACGU"}
-    code = lambda k: F.substring(F.lit("".join(bases)), (F.floor(F.col("id") / 7**k) % 7).cast("int") + 1, F.lit(1))
-    rows = spark.range(343, numPartitions=1).select(F.concat(code(2), code(1), code(0)).alias("pattern"))
-    of = F.create_map(*[F.lit(x) for kv in bases.items() for x in kv])
-    at = lambda k: F.split(F.element_at(of, F.substring("pattern", k, 1)), "")
-    every = F.flatten(F.transform(at(1), lambda x: F.flatten(F.transform(at(2), lambda y: F.transform(at(3), lambda z: F.concat(x, y, z))))))
-    return rows.select("pattern", F.array_sort(every).alias("e")).select("pattern", F.size("e").cast("long").alias("n"), F.array_join("e", " ").alias("expanded"))
+    """The patterns that the letters of all texts spell, how often, and what they stand for."""
+    letters = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "T", "U")
+    rows = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(letters, F.lit("([ACGUNRY]{3})"), F.lit(1))).alias("pattern"))
+    rows = rows.groupBy("pattern").agg(F.count("*").alias("seen")).withColumn("e", degenerate_expansion(F.col("pattern")))
+    return rows.select("pattern", "seen", F.size("e").cast("long").alias("n"), F.array_join("e", " ").alias("expanded"))
 
 
 @query(
     "F19_vocabulary",
-    "WITH b(i, x) AS (VALUES (0, 'A'), (1, 'U'), (2, 'C'), (3, 'G')) SELECT CAST(16 * p.i + 4 * q.i + r.i AS INTEGER) AS id, p.x || q.x || r.x AS codon FROM b p, b q, b r",
+    f"""WITH {CODONS_SQL}, b(i, x) AS (VALUES (0, 'A'), (1, 'U'), (2, 'C'), (3, 'G')), v AS (SELECT CAST(16 * p.i + 4 * q.i + r.i AS INTEGER) AS id, p.x || q.x || r.x AS codon FROM b p, b q, b r)
+    SELECT id, v.codon, count(c.codon) AS n FROM v LEFT JOIN codon c ON c.codon = v.codon GROUP BY ALL""",
 )
 def f19(spark: SparkSession, sf: str) -> DataFrame:
-    return codes.vocabulary(spark)
+    """The vocabulary with what the records have of each token."""
+    n = codon_rows(cds(spark, sf)).groupBy("codon").agg(F.count("*").alias("n"))
+    return codes.vocabulary(spark).join(n, "codon", "left").select("id", "codon", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def extended_window(rna: F.Column, tis: F.Column, cds_length: F.Column, flank: int = 30, upstream: int = 6, downstream: int = 4) -> F.Column:
@@ -293,17 +304,19 @@ def f28(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "F30_learning_rate",
-    "SELECT step, round(CASE WHEN step < 100 THEN 3e-4 * (step + 1) / 100 ELSE 3e-4 * 0.5 * (1 + cos(pi() * (step - 100) / 1900)) END, 9) AS rate FROM range(2000) t(step)",
+    """WITH r AS (SELECT batch, step, round(CASE WHEN step < 100 THEN 3e-4 * (step + 1) / 100 WHEN step < 2000 THEN 3e-4 * 0.5 * (1 + cos(pi() * (step - 100) / 1900)) ELSE 0 END, 9) AS rate
+      FROM (SELECT l_orderkey AS batch, count(*) AS k, l_orderkey % 2100 AS step FROM lineitem GROUP BY l_orderkey)) SELECT batch, step, rate FROM r""",
 )
 def f30(spark: SparkSession, sf: str) -> DataFrame:
-    return learning_rate(spark, 2000, 100, 3e-4)
+    """Orders as batches of lines: the rate of the step that each is taken at."""
+    batches = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("batch")).distinct().withColumn("step", F.col("batch") % 2100)
+    return batches.withColumn("rate", learning_rate(F.col("step"), 2000, 100, 3e-4))
 
 
-def learning_rate(spark: SparkSession, steps: int, warm_up: int, most: float) -> DataFrame:
-    """(step, rate): linear warm-up, then a cosine to zero."""
-    step = F.col("id")
+def learning_rate(step: F.Column, steps: int, warm_up: int, most: float) -> F.Column:
+    """Linear warm-up, then a cosine to zero, and zero from the last step on."""
     cosine = 0.5 * (1 + F.cos(F.pi() * (step - warm_up) / (steps - warm_up)))
-    return spark.range(steps).select(step.alias("step"), F.round(F.when(step < warm_up, most * (step + 1) / warm_up).otherwise(most * cosine), 9).alias("rate"))
+    return F.round(F.when(step < warm_up, most * (step + 1) / warm_up).when(step < steps, most * cosine).otherwise(0.0), 9)
 
 
 @query(
@@ -316,11 +329,17 @@ def f32(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "F35_code_tables",
-    f"WITH {codes.gc_sql(codes.TABLES)} SELECT CAST(translation_table AS INTEGER) AS translation_table, aa, count(*) AS n, string_agg(codon, ' ' ORDER BY codon) AS codons, count(*) FILTER (is_start) AS n_starts FROM gc GROUP BY ALL",
+    f"""WITH {CODONS_SQL}, {codes.gc_sql(codes.TABLES)}, s AS (SELECT codon, count(*) AS seen FROM codon GROUP BY 1)
+    SELECT CAST(translation_table AS INTEGER) AS translation_table, aa, count(*) AS n, string_agg(codon, ' ' ORDER BY codon) AS codons, count(*) FILTER (is_start) AS n_starts, CAST(sum(coalesce(seen, 0)) AS BIGINT) AS seen
+    FROM gc LEFT JOIN s USING (codon) GROUP BY ALL""",
 )
 def f35(spark: SparkSession, sf: str) -> DataFrame:
-    rows = codes.genetic_codes(spark).groupBy("translation_table", "aa")
-    return rows.agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("codon")), " ").alias("codons"), F.count_if("is_start").alias("n_starts"))
+    """Each table's amino acids with their codons, and what the records' codons would be under it."""
+    seen = codon_rows(cds(spark, sf)).groupBy("codon").agg(F.count("*").alias("seen"))
+    rows = codes.genetic_codes(spark).join(F.broadcast(seen), "codon", "left").groupBy("translation_table", "aa")
+    return rows.agg(
+        F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("codon")), " ").alias("codons"), F.count_if("is_start").alias("n_starts"), F.sum(F.coalesce("seen", F.lit(0))).alias("seen")
+    )
 
 
 @query(
@@ -359,12 +378,16 @@ def f33(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "F34_prior_vector",
-    "WITH b(i, x) AS (VALUES (0, 'A'), (1, 'U'), (2, 'C'), (3, 'G')), v AS (SELECT CAST(16 * p.i + 4 * q.i + r.i AS INTEGER) AS id, p.x || q.x || r.x AS codon FROM b p, b q, b r) "
-    "SELECT id, codon, CAST(CASE codon WHEN 'AUG' THEN 1.0 WHEN 'CUG' THEN 0.6 WHEN 'GUG' THEN 0.5 WHEN 'UUG' THEN 0.4 WHEN 'ACG' THEN 0.3 WHEN 'AUU' THEN 0.2 ELSE 0 END AS DOUBLE) AS weight FROM v",
+    f"""WITH {CDS_SQL}, b(i, x) AS (VALUES (0, 'A'), (1, 'U'), (2, 'C'), (3, 'G')), v AS (SELECT CAST(16 * p.i + 4 * q.i + r.i AS INTEGER) AS id, p.x || q.x || r.x AS codon FROM b p, b q, b r)
+    SELECT id, codon, CAST(CASE codon WHEN 'AUG' THEN 1.0 WHEN 'CUG' THEN 0.6 WHEN 'GUG' THEN 0.5 WHEN 'UUG' THEN 0.4 WHEN 'ACG' THEN 0.3 WHEN 'AUU' THEN 0.2 ELSE 0 END AS DOUBLE) AS weight, count(rna) AS n_first
+    FROM v LEFT JOIN cds ON rna[1:3] = codon GROUP BY id, codon""",
 )
 def f34(spark: SparkSession, sf: str) -> DataFrame:
+    """The prior of every codon as a start, with the records that begin with it."""
     prior = spark.createDataFrame(list(codes.INITIATION.items()), "codon string, weight double")
-    return codes.vocabulary(spark).join(F.broadcast(prior), "codon", "left").select("id", "codon", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    first = cds(spark, sf).groupBy(F.substring("rna", 1, 3).alias("codon")).agg(F.count("*").alias("n_first"))
+    rows = codes.vocabulary(spark).join(F.broadcast(prior), "codon", "left").join(first, "codon", "left")
+    return rows.select("id", "codon", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("n_first", F.lit(0)).alias("n_first"))
 
 
 @query(
