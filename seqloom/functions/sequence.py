@@ -54,14 +54,14 @@ def codon_index(codon: Column, order: str = codes.BASES) -> Column:
 
 
 def _by_table(table: Column | int, per_table: list) -> Column:
-    """A table's element; ids outside 1..33 have that of table 1."""
+    """A table's element; null for ids outside 1..33."""
     values = F.array(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for x in per_table])
     t = F.lit(table) if isinstance(table, int) else table
-    return F.element_at(values, F.when(t.between(1, 33), t).otherwise(1).cast("int"))
+    return F.when(t.between(1, 33), F.element_at(values, t.cast("int")))
 
 
 def amino_acid(codon: Column, table: Column | int = 1) -> Column:
-    """X for what is no codon."""
+    """X for what is no codon; null for a table outside 1..33."""
     letters = _by_table(table, [codes.amino_acids(t) for t in codes.TABLES])
     return F.when(codon.rlike("^[ACGU]{3}$"), F.substring(letters, codon_index(codon, codes.CODE_ORDER) + 1, F.lit(1))).otherwise("X")
 
@@ -86,7 +86,7 @@ def _letters(rna: pa.Array, table: pa.Array) -> pa.Array:
     digit[list(codes.CODE_ORDER.encode())] = range(4)
     letters = np.frombuffer("".join(codes.amino_acids(t) for t in codes.TABLES).encode(), np.uint8)
     rna = rna.cast(pa.binary())
-    known = rna.is_valid().to_numpy(zero_copy_only=False)
+    known = rna.is_valid().to_numpy(zero_copy_only=False).copy()
     size = pa.compute.binary_length(rna).fill_null(0).to_numpy()
     bases = digit[np.frombuffer(b"".join(rna.drop_null().to_pylist()), np.uint8)]
     if (bases == 4).any():  # what is no base parts the codons: such rows are rare and done one by one
@@ -97,15 +97,16 @@ def _letters(rna: pa.Array, table: pa.Array) -> pa.Array:
     n = size // 3
     ends = np.cumsum(n)
     start = np.repeat(np.cumsum(size) - size, n) + 3 * (np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n))
-    t = table.cast(pa.int64()).fill_null(1).to_numpy()
-    code = np.repeat(np.where((t >= 1) & (t <= 33), t, 1) - 1, n)
+    t = table.cast(pa.int64()).fill_null(0).to_numpy()
+    known &= (t >= 1) & (t <= 33)
+    code = np.repeat(np.where(known, t, 1) - 1, n)
     out = letters[code * 64 + bases[start] * 16 + bases[start + 1] * 4 + bases[start + 2]].tobytes()
     offsets = np.append(0, ends).tolist()
     return pa.array([out[a:b].decode() if ok else None for a, b, ok in zip(offsets[:-1], offsets[1:], known, strict=True)], pa.string())
 
 
 def translate(rna: Column, table: Column | int = 1) -> Column:
-    """Every codon's letter, stops as *; the first codon is not made M."""
+    """Every codon's letter, stops as *; the first codon is not made M. Null for a table outside 1..33."""
 
     @F.arrow_udf("string")
     def protein(x: pa.Array, t: pa.Array) -> pa.Array:

@@ -21,7 +21,7 @@ def one(spark, column, **values):
 
 @pytest.mark.parametrize(
     ("rna", "table", "protein"),
-    [("UGAAGAAGGAUA", 1, "*RRI"), ("UGAAGAAGGAUA", 2, "W**M"), ("GUG", 2, "V"), ("CUG", 3, "T"), ("CUG", 99, "L"), ("UAA", 6, "Q")],
+    [("UGAAGAAGGAUA", 1, "*RRI"), ("UGAAGAAGGAUA", 2, "W**M"), ("GUG", 2, "V"), ("CUG", 3, "T"), ("CUG", 99, None), ("UAA", 6, "Q")],
 )
 def test_translate(spark, rna, table, protein):
     assert one(spark, S.translate(F.col("r"), F.col("t")), r=rna, t=table) == protein
@@ -200,3 +200,10 @@ def test_matched_views_take_the_least_ranks_of_each_view(spark):
     found = matched_views(rows, "view", "key").collect()
     ranked = {v: sorted({k for w, k in map(tuple, rows.collect()) if w == v}, key=lambda k: hashlib.sha256(f"17:{v}:{k}".encode()).hexdigest())[:7] for v in ("big", "small")}
     assert sorted(map(tuple, found)) == sorted((v, k, n + 1) for v, ks in ranked.items() for n, k in enumerate(ks))
+
+
+def test_unknown_genetic_codes_give_null(spark):
+    rows = spark.createDataFrame([("AUGUGA", 1), ("AUGUGA", 2), ("AUGUGA", 0), ("AUGUGA", 34), ("AUGUGA", None), (None, 1)], "rna string, t int")
+    t = F.col("t")
+    got = [tuple(r) for r in rows.select(S.translate(F.col("rna"), t), S.amino_acid(F.lit("UGA"), t), S.is_stop(F.lit("UGA"), t), S.translate_cds(F.col("rna"), t)).collect()]
+    assert got == [("M*", "*", True, "M"), ("MW", "W", False, None), (None,) * 4, (None,) * 4, (None,) * 4, (None, "*", True, None)]
