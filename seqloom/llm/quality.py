@@ -15,6 +15,7 @@ measured whole; repeated rows get equal scores, and equal scores equal predictio
 id the larger counts, of several documents with a labelled id the one with the least features; labels
 that are null or without a document are ignored; without two classes among the labels (as with an empty
 table of labels) every score is THRESHOLD; no documents give no rows; other columns are not read.
+Ids are integers of at most 64 bits.
 """
 
 from __future__ import annotations

@@ -23,7 +23,8 @@ Defined results: null or blank text has no words; a text shorter than a window l
 long text is a block of its own and is searched whole; of equal windows the first place stays, places
 being compared by (doc_id, word number), so rows with equal doc_id and text are one and the same place
 and neither is later; a null doc_id stands before all others; white space in the kept text is a
-single space; an empty table gives an empty table; other columns are not read.
+single space; an empty table gives an empty table; other columns are not read. Ids are
+integers of at most 64 bits and come back in their own type.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ components have a product, so each width is searched by itself. Components of an
 integers; a score beyond a long is held at the end of its range. Zero vectors score zero and may be
 returned; ties go to the smaller id; rows with one id are separate candidates but never those of a
 query with that id, and as queries they share one ranking; fewer than k candidates give fewer rows; an
-empty table gives an empty result; other columns are not read, whatever their names.
+empty table gives an empty result; other columns are not read, whatever their names. Ids are integers of at
+most 64 bits.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ whole; repeated rows get equal scores, and equal scores equal verdicts (a score
 of several labels of one id the larger counts, of several documents with a labelled id the one with the
 least sequence of words; labels that are null or without a document are ignored; without two classes among
 the labels (as with an empty table of labels) every probability is 0; no documents give no rows; other
-columns are kept by reject() and not read by score().
+columns are kept by reject() and not read by score(). Ids are integers of at most 64 bits.
 """
 
 from __future__ import annotations
