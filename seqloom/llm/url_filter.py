@@ -11,7 +11,7 @@ built at once, level by level: Spark ORs the words of each shard's level, and th
 shrink from level to level and stay tables. Which keys are listed is one grouping of both tables, no join.
 The levels reach the keys in one of two ways, with the same filters: as a broadcast while all of them have
 BROADCAST_BYTES at most, and beyond that as rows that are sorted in front of their shard's keys, so that a
-task holds one shard's levels at a time. There, a shard's keys are dealt into SALTS parts, so a key that
+task holds one shard's levels at a time. There, a shard's keys are dealt into parts by the number of rows (SALTS at least), so a key that
 many rows have is not all in one task.
 
 Defined results: a null url or one without "://" has an empty host and path, fits no rule and is
@@ -47,8 +47,8 @@ RULES = (
 )
 #: Names whose hosts are listed, fixed.
 LISTED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
-#: Listed keys of a shard (about), bytes of levels that are broadcast, parts of a shard's rows beyond that.
-SHARD_KEYS, BROADCAST_BYTES, SALTS, MAX_LEVELS = 1 << 20, 8_000_000, 16, 64
+#: Listed keys of a shard (about), bytes of levels that are broadcast, least parts of a shard beyond that, rows for a part of all shards.
+SHARD_KEYS, BROADCAST_BYTES, SALTS, PART_ROWS, MAX_LEVELS = 1 << 20, 8_000_000, 16, 4_000_000, 64
 
 
 @dataclass
@@ -143,9 +143,11 @@ def _tested(df: DataFrame, h1: str, h2: str, shard: str, levels: DataFrame, out_
 
         return df.withColumn(out_col, member(shard, h1, h2))
 
+    # as many parts of a shard as hold the rows even if one shard has most of them
+    salts = max(SALTS, -(-df.count() // PART_ROWS))
     own, salt, names = unused(df, "__levels"), unused(df, "__salt"), df.columns
-    rows = df.withColumns({own: F.lit(None).cast("struct<level:int,bits:bigint,hashes:int,words:binary>"), salt: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))})
-    heads = levels.select(F.col("shard").alias(shard), F.struct("level", "bits", "hashes", "words").alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias(salt))
+    rows = df.withColumns({own: F.lit(None).cast("struct<level:int,bits:bigint,hashes:int,words:binary>"), salt: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts).cast("long"))})
+    heads = levels.select(F.col("shard").alias(shard), F.struct("level", "bits", "hashes", "words").alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias(salt))
     dealt = rows.unionByName(heads, allowMissingColumns=True).repartition(shard, salt).sortWithinPartitions(shard, salt, F.col(own).isNull(), f"{own}.level")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

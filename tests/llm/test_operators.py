@@ -516,6 +516,7 @@ def test_op8_cascade_is_exact(spark, monkeypatch, shard_keys, most):
     """One shard and many, levels broadcast and sent to their shards' rows; every column kept, whatever its name."""
     monkeypatch.setattr(url_filter, "SHARD_KEYS", shard_keys)
     monkeypatch.setattr(url_filter, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(url_filter, "PART_ROWS", 300)  # more parts than the least
     keys = spark.range(6_000).selectExpr("concat('k', id) AS key", "id AS h1", "cast(id AS string) AS h2", "2 AS listed2", "array(id) AS shard")
     rows = keys.unionByName(keys.where("h1 = 18").join(spark.range(3_000)).drop("id")).unionByName(spark.sql("SELECT cast(null AS string) AS key, -1L AS h1, 'x' AS h2, 2 AS listed2, array(1L) AS shard"))
     listed = keys.where("pmod(xxhash64(key), 9) = 0").select("key").unionByName(spark.sql("SELECT 'nowhere' AS key UNION ALL SELECT null"))
