@@ -9,9 +9,10 @@ linked, so nothing is linked wrongly.
 Whoever shares a key is first held against the smallest and the largest node there, never against all, so a crowded key
 gives two stars. Documents of one template crowd keys without being copies of each other; a true pair among them is then
 not compared. So all nodes of keys of four nodes or more that still hold several components go through a third search that
-loses no pair: with a set's shingles ordered from the rarest among these nodes on, two sets of similarity t have one of their
-first n - ceil(t n) + 1 in common. What a template shares is frequent and comes last. A shingle that at most CROWD nodes
-meet in compares them all; one that more meet in compares each with its two ends and with those that share a band key too.
+loses no pair, however many meet: with a set's shingles ordered from the rarest among these nodes on, let the first one that
+two sets have in common stand at i and j. They share n - i + 1 and m - j + 1 at most, which a similarity of t must reach. So i
+is among the larger set's first n - ceil(t n) + 1, and j among the smaller one's first m - ceil(2t m / (1 + t)) + 1. What a template
+shares is frequent, comes last and is beyond these places unless the sets are nearly equal. Nodes of one component are not paired.
 
 Documents of one shingle set are one node (a 128-bit digest). Defined results: null or blank texts have the empty set and are
 copies of each other; fewer words than a shingle: the whole sequence is the shingle; texts of any length are read whole;
@@ -33,7 +34,7 @@ from .simhash import SEED, SLICE_HASHES, links, majority_bits, shingle_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 6
-#: Nodes that one shingle lets be compared pair by pair.
+#: Nodes of one shingle beyond which its largest component is set apart, so that its nodes are joined with the others only.
 CROWD = 64
 MARKS = "struct<node:binary,n:int,fp:long,keys:array<long>>"
 
@@ -122,41 +123,40 @@ def _like_sizes(threshold: float) -> F.Column:
     return F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
 
 
+def _places(share: float) -> F.Column:
+    """Of n ordered shingles those one of which is shared with any set that has this share of them."""
+    return F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1
+
+
 def _crowded(nodes: DataFrame, parts: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """(a, b, na, nb): candidates of different components among the nodes of crowded keys, by their rarest shingles."""
+    """(a, b, na, nb, ca, cb): all candidates of different components ca and cb among the nodes of crowded keys, by their
+    rarest shingles."""
     keyed = nodes.select("node", F.explode("keys").alias("key")).join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("k"), F.min("part").alias("low"), F.max("part").alias("high")).where("k > 3 AND low < high")
     crowded = scratch.write(crowded.select("key"), "crowded")
-    some = keyed.join(crowded, "key").groupBy("node").agg(F.min("part").alias("part"), F.collect_set("key").alias("keys"))
-    some = scratch.write(some.join(nodes.select("node", "n"), "node"), "crowd")
-    tokens = scratch.write(some.join(sets, "node").select("node", "n", "part", F.explode("hashes").alias("token")), "tokens")
+    some = keyed.join(crowded, "key").groupBy("node").agg(F.min("part").alias("part"))
+    tokens = some.join(sets, "node").select("node", F.size("hashes").alias("n"), "part", F.explode("hashes").alias("token"))
+    tokens = scratch.write(tokens, "tokens")
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "token"))
-    first = tokens.join(shared, "token", "left").withColumn("rank", rank).where((F.col("rank") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1) & F.col("df").isNotNull())
-    first = scratch.write(first.select("token", "node", "n", "part"), "first")
-
-    def within(rows: DataFrame, by: list[str], name: str) -> tuple[DataFrame, DataFrame]:
-        """Pairs of groups up to CROWD, and the larger groups with their two ends."""
-        at = F.struct("node", "n", "part")
-        sizes = rows.groupBy(*by).agg(F.count("*").alias("k"), F.min(at).alias("low"), F.max(at).alias("high"), F.min("part").alias("p"), F.max("part").alias("q")).where("k > 1 AND p < q")
-        sizes = scratch.write(sizes, name)
-        few = rows.join(sizes.where(F.col("k") <= CROWD).select(*by), by).select(*by, at.alias("x"))
-        pairs = few.join(few.withColumnRenamed("x", "y"), by).where("x.node > y.node")
-        return pairs.select("x", "y"), sizes.where(F.col("k") > CROWD)
-
-    small, large = within(first, ["token"], "by-token")
-    many = first.join(large.select("token", "low", "high"), "token")
-
-    def to_ends(rows: DataFrame) -> DataFrame:
-        """A node meets the same ends by many shingles: once is enough."""
-        met = rows.select(F.struct("node", "n", "part").alias("x"), "low", "high").distinct()
-        return met.select("x", F.explode(F.array("low", "high")).alias("y")).where("x.node <> y.node")
-
-    finer = many.select("token", "node", "n", "part").join(some.select("node", F.explode("keys").alias("key")), "node")
-    fine, larger = within(scratch.write(finer, "finer"), ["token", "key"], "by-token-and-key")
-    rest = finer.join(larger.select("token", "key", "low", "high"), ["token", "key"])
-    every = small.unionByName(to_ends(many)).unionByName(fine).unionByName(to_ends(rest)).where("x.part <> y.part")
-    return every.select(*_pairs("x", "y")).where(_like_sizes(threshold)).distinct()
+    first = tokens.join(shared, "token", "left").withColumn("rank", rank).where((F.col("rank") <= _places(threshold)) & F.col("df").isNotNull())
+    first = scratch.write(first.select("token", "node", "n", "part", "rank"), "first")
+
+    counted = first.groupBy("token", "part").agg(F.count("*").alias("k")).groupBy("token")
+    counted = counted.agg(F.max(F.struct("k", "part")).alias("most"), F.sum("k").alias("k"), F.count("*").alias("parts")).where("parts > 1")
+    met = first.join(counted.select("token", "k", F.col("most.part").alias("largest")), "token")
+    met = met.select("token", "node", "n", "part", "rank", ((F.col("k") > CROWD) & (F.col("part") == F.col("largest"))).alias("main"))
+    met = scratch.write(met, "met")
+    at = F.struct("node", "n", "part", "rank")
+    ahead = met.where(F.col("rank") <= _places(2 * threshold / (1 + threshold)))
+    ahead = ahead.select("token", at.alias("x"), F.explode(F.when(F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("main"))
+    pairs = ahead.join(met.select("token", "main", at.alias("y")), ["token", "main"])
+    pairs = pairs.where("x.part <> y.part AND (x.n < y.n OR x.n = y.n AND x.node < y.node)")
+    most = F.least(F.expr("x.n - x.rank"), F.expr("y.n - y.rank")) + 1
+    pairs = pairs.where(most >= threshold / (1 + threshold) * F.expr("x.n + y.n") - 1e-9)
+    high, low = F.greatest("x", "y"), F.least("x", "y")
+    named = {"a": high["node"], "b": low["node"], "na": high["n"], "nb": low["n"], "ca": high["part"], "cb": low["part"]}
+    return pairs.select(*[c.alias(k) for k, c in named.items()]).where(_like_sizes(threshold)).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -182,14 +182,10 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     texts = keep_keys(rows, wanted.select(row), row).select(F.col(f"{mark}.node").alias("node"), hash_set(width)(F.col(text_col).cast("string")).alias("hashes"))
     sets = scratch.write(texts, "sets")
 
-    pairs = pairs.where(_like_sizes(threshold))
-    one = pairs.groupBy("a").agg(F.min(F.struct("b", "na", "nb")).alias("hub")).select("a", "hub.*")
-    sure = scratch.write(_verified(one, sets, threshold), "stars")
+    sure = scratch.write(_verified(pairs.where(_like_sizes(threshold)), sets, threshold), "stars")
     parts = scratch.write(connected_components(sure, "a", "b"), "parts")
-    part = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    rest = pairs.join(one.select("a", "b"), ["a", "b"], "left_anti").unionByName(_crowded(nodes, parts, sets, threshold, scratch)).distinct()
-    rest = rest.join(part("a"), "a", "left").join(part("b"), "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
-    more = _verified(scratch.write(rest, "rest"), sets, threshold).join(rest, ["a", "b"]).select("ca", "cb").distinct()
+    rest = scratch.write(_crowded(nodes, parts, sets, threshold, scratch), "rest")
+    more = _verified(rest, sets, threshold).join(rest, ["a", "b"]).select("ca", "cb").distinct()
     # components of components: only those with a new link take part
     upper = connected_components(scratch.write(more, "others"), "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("upper"))
     whole = nodes.join(parts, "node", "left").select("best", F.coalesce("component", "node").alias("component")).groupBy("component").agg(F.min("best").alias("best"))

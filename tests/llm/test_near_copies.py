@@ -8,6 +8,7 @@ import corpus_pipeline
 from test_operators import WORDS, prose
 
 from seqloom.llm import near_copies
+from seqloom.plans.storage import Scratch
 
 
 def five(text: str | None) -> frozenset:
@@ -88,6 +89,21 @@ def test_crowds_beyond_the_limit(spark, monkeypatch):
     assert kept == kept_of(rows)
 
 
+def test_sets_without_a_rare_shingle(spark):
+    """200 sets in one key, every shingle of which more than CROWD have: no pair of 0.8 or more is missing among the candidates."""
+    r = random.Random(4)
+    sets = [frozenset(r.sample(range(40), 20)) for _ in range(180)]
+    sets += [s - {min(s)} | {r.choice(sorted(set(range(40)) - s))} for s in sets[40:60]]
+    names = [b"%03d" % k for k in r.sample(range(200), 200)]
+    want = {(max(names[i], names[j]), min(names[i], names[j])) for i in range(200) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8 - 1e-9}
+    assert len(want) >= 20 and min(sum(t in s for s in sets) for t in range(40)) > near_copies.CROWD
+    nodes = spark.createDataFrame([(n, 20, [7]) for n in names], "node binary, n int, keys array<long>")
+    held = spark.createDataFrame([(n, sorted(s)) for n, s in zip(names, sets, strict=True)], "node binary, hashes array<long>")
+    parts = spark.createDataFrame([], "node binary, component binary")
+    got = near_copies._crowded(nodes, parts, held, 0.8, Scratch(spark, "crowded"))
+    assert want <= {(bytes(x.a), bytes(x.b)) for x in got.select("a", "b").collect()}
+
+
 def test_other_columns_and_empty_tables(spark):
     rows = [(1, "a b c d e f", 1, "x"), (1, "a b c d e f", 2, "y"), (None, "a b c d e f", 3, "z"), (2, None, 4, None), (None, " ", 5, "v")]
     df = spark.createDataFrame(rows, "doc_id long, text string, node int, hashes string")
