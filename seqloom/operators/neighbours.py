@@ -7,26 +7,31 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import Scratch
 from ..registry import query
-from ..sources.views import CDS_SQL, cds, fragments
+from ..sources.views import CDS_SQL, cds
 from .alignment import sequence_identity
-from .similarity import FRAGMENT, REPORT, _pairs_sql, similar_pairs
+from .near_pairs import digest, near_pairs, packed_fragments
+from .similarity import FRAGMENT, REPORT, _bound, _pairs_sql, cohort_counts
 
 
-def nearest_known(records: DataFrame, least: float) -> DataFrame:
-    """(sequence_sha256, nearest, differences) of each distinct holdout sequence: the training sequence of equal length with the
+def nearest_known(rows: DataFrame, least: float) -> DataFrame:
+    """(n, p, nearest, differences) of each distinct holdout sequence (packed: cohort, n, p): the training sequence of equal length with the
     fewest differences, ties to the smaller digest, if one has an identity of `least` or more, else null.
 
     A sequence that training has is its own nearest. The pair search loses none, so nulls are sure; copies count once."""
-    scratch = Scratch(records.sparkSession, "nearest")
-    rows = scratch.write(records.select("cohort", "sequence_sha256", "rna"), "records")
-    known = scratch.write(rows.where("cohort = 'training'").select("sequence_sha256").distinct(), "known")
-    asked = rows.where("cohort = 'holdout'").select("sequence_sha256").distinct()
-    near = scratch.write(similar_pairs(rows, least, []).select("a", "b", "differences"), "near")
-    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "differences"))
-    both = both.unionByName(known.select(F.col("sequence_sha256").alias("a"), F.col("sequence_sha256").alias("b"), F.lit(0).alias("differences")))
-    both = both.join(known.withColumnRenamed("sequence_sha256", "b"), "b", "left_semi")
-    best = both.groupBy(F.col("a").alias("sequence_sha256")).agg(F.min(F.struct("differences", "b")).alias("m"))
-    return asked.join(best, "sequence_sha256", "left").select("sequence_sha256", F.col("m.b").alias("nearest"), F.col("m.differences").cast("long").alias("differences"))
+    scratch = Scratch(rows.sparkSession, "nearest")
+    nodes = scratch.write(cohort_counts(rows), "nodes")
+    near = near_pairs(nodes, _bound(least), [], scratch, cross=True)
+    found = lambda d, s, q: F.struct(d.alias("differences"), s.alias("s"), q.alias("q"))
+    way = lambda a, b: F.when((F.col(f"h{a}") > 0) & (F.col(f"t{a}") == 0) & (F.col(f"t{b}") > 0), F.struct(F.col(a).alias("p"), F.col(b).alias("q")))
+    pairs = near.select("n", "differences", F.explode(F.array(way("a", "b"), way("b", "a"))).alias("w")).where("w IS NOT NULL").select("n", "w.p", "differences", "w.q")
+    pairs = pairs.select("n", "p", found(F.col("differences"), digest(F.col("q"), F.col("n")), F.col("q")).alias("m"))
+    asked = nodes.where("h > 0").select("n", "p", F.when(F.col("t") > 0, found(F.lit(0), F.lit(""), F.col("p"))).alias("m"))
+    best = asked.unionByName(pairs).groupBy("n", "p").agg(F.min("m").alias("m"))
+    return best.select("n", "p", F.col("m.q").alias("nearest"), F.col("m.differences").cast("long").alias("differences"))
+
+
+def with_nearest(rows: DataFrame) -> DataFrame:
+    return rows.select(digest(F.col("p"), F.col("n")).alias("sequence_sha256"), digest(F.col("nearest"), F.col("n")).alias("nearest"), "differences")
 
 
 @query(
@@ -34,9 +39,10 @@ def nearest_known(records: DataFrame, least: float) -> DataFrame:
     f"""WITH {_pairs_sql(REPORT, FRAGMENT, False)}, tr AS (SELECT DISTINCT sequence_sha256 AS t FROM frag WHERE cohort = 'training'), ho AS (SELECT DISTINCT sequence_sha256 FROM frag WHERE cohort = 'holdout'),
     e AS (SELECT a, b, differences FROM pair UNION ALL SELECT b, a, differences FROM pair UNION ALL SELECT t, t, 0 FROM tr), best AS (SELECT a, min(differences) AS d, arg_min(b, (differences, b)) AS n FROM e JOIN tr ON t = b GROUP BY a)
     SELECT sequence_sha256, n AS nearest, CAST(d AS BIGINT) AS differences FROM ho LEFT JOIN best ON a = sequence_sha256""",
+    with_nearest,
 )
 def j10_training(spark: SparkSession, sf: str) -> DataFrame:
-    return nearest_known(fragments(spark, sf, FRAGMENT), REPORT)
+    return nearest_known(packed_fragments(spark, sf, FRAGMENT, "cohort"), REPORT)
 
 
 _RUNS = f"""{CDS_SQL}, rn AS (SELECT doc_id, unnest(regexp_extract_all(rna, '.{{{FRAGMENT}}}')) AS rna, unnest(range(length(rna) // {FRAGMENT})) AS k FROM cds)"""
