@@ -101,6 +101,24 @@ def test_reference_gate(spark):
     assert alignment.reference_gate(df.limit(0), refs, 0.95, alignment.PROTEINS).count() == 0
 
 
+def test_runs_are_made_for_some_proteins_at_a_time(spark, monkeypatch):
+    """Runs of a whole batch of proteins were strings of one array before; what is joined does not depend on the cuts."""
+    from seqloom.plans.storage import Scratch
+
+    r = random.Random(3)
+    texts = [some(r, n, ACIDS) for n in (5, 12, 31, 90, 200, 300, 301)]
+    rows = [(f"p{k}", t) for k, t in enumerate(texts + [changed(r, t, 2, ACIDS) for t in texts])]
+    proteins = spark.createDataFrame(rows, "p string, protein string").coalesce(1)
+    references = spark.createDataFrame([(f"r{k}", t) for k, t in enumerate(texts)], "r string, reference string")
+    got = []
+    for letters in (1 << 20, 40):
+        monkeypatch.setattr(alignment, "LETTERS", letters)
+        got.append({tuple(x) for x in alignment.candidate_isoforms(proteins, references, 0.95, 3, Scratch(spark, "test")).collect()})
+    assert got[0] == got[1] and {(f"p{k}", f"r{k}") for k in range(len(texts))} <= got[0]
+    codes = alignment.gram_codes(__import__("numpy").frombuffer(b"ACDACD", "u1"), 3)
+    assert len(codes) == 4 and codes[0] == codes[3] and len(set(codes.tolist())) == 3
+
+
 def acids(rna: str, table: int) -> str:
     order = {c: k for k, c in enumerate(codes.CODE_ORDER)}
     letters = codes.amino_acids(table)
