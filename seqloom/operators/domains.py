@@ -84,7 +84,9 @@ _TEXT = "string_agg({0}, ',' ORDER BY k)"
 )
 def f27_arrays(spark: SparkSession, sf: str) -> DataFrame:
     """The gap of four codons at each record's anchor."""
-    records = Scratch(spark, "records").write(cds(spark, sf), "records")
-    cases = records.join(anchors(records, gap=GAP, left=4).select("doc_id", "start"), "doc_id")
-    cases = cases.select(F.col("doc_id").alias("case_id"), "family", "start", F.floor(F.length("rna") / 3).cast("int").alias("n_codons"))
+    records = cds(spark, sf)
+    # only numbers are joined and written, no sequence
+    lengths = records.select(F.col("doc_id").alias("case_id"), "family", F.floor(F.length("rna") / 3).cast("int").alias("n_codons"))
+    starts = Scratch(spark, "starts").write(anchors(records, gap=GAP, left=4).select(F.col("doc_id").alias("case_id"), "start"), "starts")
+    cases = lengths.join(starts, "case_id")
     return as_text(domain_features(cases, family_domains(records), GAP))
